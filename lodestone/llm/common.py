@@ -42,3 +42,14 @@ def hash_unit(*cols: Column) -> Column:
     text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols])
     bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def _ship_by_value() -> None:
+    """Functions of this subpackage travel to executors as code, so that executors need not have it installed."""
+    import lodestone.llm
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(lodestone.llm)
+
+
+_ship_by_value()

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, mixing, sharding
+from lodestone.llm import decontaminate, langid, mixing, secret_scan, sharding
 from lodestone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
 
@@ -25,6 +33,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_langid": op3_langid,
+    "op5_secrets": op5_secrets,
     "op7_sharding": op7_sharding,
     "op8_decontaminate": op8_decontaminate,
     "op10_mixing": op10_mixing,
