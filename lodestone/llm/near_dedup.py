@@ -34,6 +34,8 @@ BATCH = 16
 MISS = 1e-5
 #: Ids are broadcast to a scan up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
+#: Strays and members of a bucket meet in blocks of about this many.
+BLOCK_ROWS = 512
 PIECE = 1 << 21
 _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -145,12 +147,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = pa.array([x.view(np.int64) for x in _each_set(as_strings(batch.column(1)))], pa.list_(pa.int64()))
+        values = pa.array([np.sort(x.view(np.int64)) for x in _each_set(as_strings(batch.column(1)))], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), values], ["id", "set"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, sig) to a row per band: (key, id, n)."""
+    """(id, n, sig) to a row per band: (key, band, id, n)."""
     salt = _random(BANDS, 3)
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
@@ -158,7 +160,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(ROWS):
             key = _mix(key * np.uint64(_BASE) + sig[:, :, r])
         ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(n, BANDS))], ["key", "id", "n"])
+        band = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(n, BANDS))], ["key", "band", "id", "n"])
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[int]:
@@ -232,6 +235,65 @@ def _close(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
+def within_buckets(placed: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between strays and members of other components, from bucket members (key, band, id, n, c, hub_c).
+
+    A stray is a member outside the hub's component. Strays and members of a bucket are cut into blocks of about
+    BLOCK_ROWS; a block of strays meets a block of members in one task, which compares signatures and sets there, so that
+    only links leave it. A pair that shares several buckets is compared in the first.
+    """
+    stray = (F.col("c") != F.col("hub_c")).cast("int")
+    sizes = placed.groupBy("key").agg(F.sum(stray).alias("s"), F.count(F.lit(1)).alias("m")).where("s > 0 and m > 1")
+    cut = durable(placed.join(sizes, "key").select("key", "band", "id", "n", "c", "hub_c", F.ceil(F.col("s") / BLOCK_ROWS).cast("int").alias("s"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("m")))
+    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    rows = cut.where("c <> hub_c").withColumn("sb", own("s")).withColumn("mb", every("m")).withColumn("role", F.lit(0))
+    rows = rows.unionByName(cut.withColumn("mb", own("m")).withColumn("sb", every("s")).withColumn("role", F.lit(1)))
+    ids = durable(cut.select("id").distinct())
+    sets = only_ids(texts, ids).mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
+    load = durable(only_ids(sigs.select("id", "sig"), ids).join(sets, "id"))
+    met = rows.select("key", "sb", "mb", "role", "band", "id", "n", "c", "hub_c").join(load, "id").select("key", "sb", "mb", "role", "band", "id", "n", "c", "hub_c", "sig", "set")
+    return met.repartition("key", "sb", "mb").sortWithinPartitions("key", "sb", "mb", "role").mapInArrow(_meet, "a long, b long").distinct()
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least, now, strays = least_matches(), None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+        edges = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
+        ids, n, c, hub_c, band = (batch.column(i).to_numpy() for i in (5, 6, 7, 8, 4))
+        sig = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint32).reshape(-1, HASHES)
+        flat, ends = batch.column(10).flatten().to_numpy(), batch.column(10).offsets.to_numpy()
+        ends = ends - ends[0]
+        links: list[tuple[int, int]] = []
+        for a, b in zip([0, *edges], [*edges, len(ids)], strict=True):
+            if tuple(group[a, :3]) != now:
+                now, strays = tuple(group[a, :3]), []
+            if group[a, 3] == 0:
+                strays += [(ids[i], n[i], c[i], sig[i], flat[ends[i] : ends[i + 1]]) for i in range(a, b)]
+                continue
+            for x, size, comp, mine, own in strays:
+                ok = (c[a:b] != comp) & ((c[a:b] == hub_c[a:b]) | (ids[a:b] > x)) & (np.minimum(n[a:b], size) * 100 >= np.maximum(n[a:b], size) * PERCENT)
+                at = np.flatnonzero(ok) + a
+                matches = np.zeros(len(at), np.int64)
+                for step, need in enumerate(least):
+                    part = slice(step * BATCH, (step + 1) * BATCH)
+                    matches = matches + (sig[at, part] == mine[part]).sum(1)
+                    at, matches = at[matches >= need], matches[matches >= need]
+                if len(at):
+                    shared = (sig[at] == mine).reshape(-1, BANDS, ROWS).all(2)
+                    at = at[shared.argmax(1) == band[a]]
+                for i in at:
+                    other = flat[ends[i] : ends[i + 1]]
+                    k = np.searchsorted(own, other)
+                    inter = int((own[np.minimum(k, len(own) - 1)] == other).sum())
+                    if inter * 100 >= (len(own) + len(other) - inter) * PERCENT:
+                        links.append((min(x, ids[i]), max(x, ids[i])))
+        yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -248,7 +310,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     member = durable(own.join(classes, ["h1", "h2"]).select("id", "rep", "h1", "h2"))
     reps = member.where("id = rep").select(F.col("id").alias("doc_id"), "h1", "h2")
     sigs = durable(known.join(reps, ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"]))
-    bands = sigs.mapInArrow(_bands, "key long, id long, n long")
+    bands = sigs.mapInArrow(_bands, "key long, band int, id long, n long")
     hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
     crowded = durable(bands.join(hubs, "key"))
     first = crowded.where(F.col("id") != F.col("hub")).where(_close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -258,15 +320,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     placed = crowded.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     at_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
     placed = durable(placed.join(at_hub, "hub", "left").withColumn("hub_c", F.coalesce("hub_c", "hub")).where(F.col("id") != F.col("hub")))
-    stray = placed.where("c <> hub_c").select("key", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), "hub_c")
-    other = placed.select("key", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("c").alias("yc"))
-    # A pair of strays is met from both sides; it is taken from the smaller id.
-    rest = stray.join(other, "key").where((F.col("xc") != F.col("yc")) & _close(F.col("xn"), F.col("yn")) & ((F.col("yc") == F.col("hub_c")) | (F.col("x") < F.col("y"))))
-    rest = durable(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = durable(verify(rest, sigs, texts))
-        if not more.isEmpty():
-            label = components(found.union(more))
+    more = durable(within_buckets(placed, sigs, texts))
+    if not more.isEmpty():
+        label = components(found.union(more))
     whole = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
