@@ -20,12 +20,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in spark.checkpoint.dir; only where it is unset, one for tests."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: what spark.checkpoint.dir names, or else, in tests, one of our own."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def durable(df: DataFrame) -> DataFrame:
 
     The copy outlives executors and cuts lineage; Spark removes it when nothing refers to it any more.
     """
-    checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -74,7 +74,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "ite
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Marks the words of every document that lie inside an occurrence of a benchmark window.
 
-    Returns doc_id, n_words, n_hit (words inside occurrences), n_items (items with an occurring window), items_sha256,
+    Returns doc_id, __h (a hash of the text, which tells rows of one id apart), n_words, n_hit (words inside occurrences), n_items (items with an occurring window), items_sha256,
     hits (array of struct(start, len) in words: the spans to cut), contaminated, and the columns of `keep`. A null or
     empty text has no words and no hits. Rows that repeat id and text each get the same figures. Documents without hits,
     and all documents if the benchmark is empty, have n_hit 0 and the hash of an empty list. Other columns are ignored.
@@ -97,7 +97,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     items_of = F.coalesce("__items", F.expr("cast(array() as array<string>)"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
+        "doc_id", "__h", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"), F.coalesce("hits", F.expr("cast(array() as array<struct<start:int,len:int>>)")).alias("hits"), *[F.col(f"__keep_{c}").alias(c) for c in keep],
     )
 
