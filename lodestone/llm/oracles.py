@@ -5,6 +5,24 @@ from __future__ import annotations
 _MIX_UNIT = "((('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
 
 ORACLES: dict[str, str] = {
+    "op2_preference": """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(coalesce(role, 'unknown')), encode(coalesce(text, ''))) AS i FROM conversations),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS k FROM t WHERE role = 'assistant'),
+l AS (SELECT conv_id, max(i) AS last, coalesce(max(CASE WHEN k = 2 THEN text END), '') AS prior FROM a GROUP BY conv_id),
+s AS (SELECT t.conv_id, 'c' AS side, t.i AS i, role, text FROM t UNION ALL
+  SELECT t.conv_id, 'r', t.i, role, CASE WHEN t.i = last THEN prior ELSE text END FROM t LEFT JOIN l ON t.conv_id IS NOT DISTINCT FROM l.conv_id),
+d AS (SELECT c.conv_id, count(*) AS all_turns, min(CASE WHEN c.text <> r.text THEN c.i - 1 END) AS n FROM s c JOIN s r ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND c.i = r.i AND c.side = 'c' AND r.side = 'r' GROUP BY c.conv_id),
+p AS (SELECT s.*, coalesce(n, all_turns) AS n, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' AS body FROM s JOIN d ON s.conv_id IS NOT DISTINCT FROM d.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, side, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start FROM p)
+SELECT conv_id AS pair_id, CAST(max(n) AS INTEGER) AS n_prompt_turns,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY i) FILTER (side = 'c' AND i <= n), '') AS prompt,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY i) FILTER (side = 'c' AND i > n), '') AS chosen,
+  coalesce(string_agg(head || body || chr(10), '' ORDER BY i) FILTER (side = 'r' AND i > n), '') AS rejected,
+  coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY i) FILTER (side = 'c' AND i > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(start || ':' || (start + length(body)), ',' ORDER BY i) FILTER (side = 'r' AND i > n AND role = 'assistant'), '') AS rejected_mask
+FROM o GROUP BY conv_id
+""",
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontaminate, html_template, langid, mixing, near_dedup, pii, pivot_search, secret_scan, sharding
+from lodestone.llm import decontaminate, html_template, langid, mixing, near_dedup, pii, pivot_search, preference, secret_scan, sharding
 from lodestone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.with_repeated_answer(preference.gather(table(spark, sf_dir, "conversations"))))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_preference": op2_preference,
     "op3_langid": op3_langid,
     "op4_topk": op4_topk,
     "op5_secrets": op5_secrets,
