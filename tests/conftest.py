@@ -6,9 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-DATA = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
@@ -29,24 +26,5 @@ def duck():
 
     con = duckdb.connect()
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '/root/testdata/sf0.001/{name}.parquet'")
     return con
-
-
-def plain(x):
-    if isinstance(x, float):
-        return float(f"{x:.9g}")
-    if isinstance(x, (list, tuple)):
-        return tuple(plain(v) for v in x)
-    return x
-
-
-def same_rows(df, relation):
-    """Compares a DataFrame with a DuckDB relation, by column name and in any order."""
-    columns = sorted(df.columns)
-    assert columns == sorted(relation.columns)
-    at = [relation.columns.index(c) for c in columns]
-    got = sorted(repr(tuple(plain(r[c]) for c in columns)) for r in df.collect())
-    want = sorted(repr(tuple(plain(r[i]) for i in at)) for r in relation.fetchall())
-    assert got == want
-    return len(got)

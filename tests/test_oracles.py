@@ -1,7 +1,7 @@
 """Queries against their SQL on the same tables."""
 
 import pytest
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 
 NAMES = [
     "exact_topk_docs", "exact_topk_cust", "padded_topk_cust", "row_norms", "max_normalised", "global_max_normalised", "norm_range_partition", "idf_weights", "idf_full_universe", "fixed_layout", "sketch_slots",
