@@ -25,6 +25,8 @@ DIM = 16
 #: The bound of the training sample: about this many rows of each language, drawn by hash.
 SAMPLE_PER_LANG = 400
 EPOCHS = 6
+#: A small sample gets more epochs, up to this many steps.
+STEPS = 600
 #: At most this share of correct calibration rows is rejected.
 REJECT_SHARE = 0.001
 UNKNOWN = "und"
@@ -128,6 +130,7 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, dim: int =
     emb = rng.normal(0, 0.1, (BUCKETS, dim))
     out, bias = rng.normal(0, 0.1, (dim, len(langs))), np.zeros(len(langs))
     order = np.arange(len(bags))
+    epochs = max(epochs, -(-STEPS // max(1, -(-len(order) // 32))))
     for epoch in range(epochs):
         rng.shuffle(order)
         step = rate * (1 - epoch / epochs)
