@@ -33,6 +33,7 @@ SALTS = 64
 EVERYWHERE = ""
 
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+)|<""", re.S)
+LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(>?)")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -64,16 +65,19 @@ class Reader:
 
         while at < size:
             m = PIECE.match(page, at)
-            if m is None:  # a tag that never ends
-                return
             at = m.end()
-            tag = m[2]
+            closing, tag, attributes = m[1], m[2], m[3]
+            if m[0] == "<" and (loose := LOOSE.match(page, m.start())):
+                # Quotes that don't pair: the tag ends at the next >, or else the page does.
+                if not loose[4]:
+                    break
+                closing, tag, attributes, at = loose[1], loose[2], loose[3], loose.end()
             if tag is None:
                 if m[4] is not None or m[0] == "<":
                     yield "text", "", m[0], path(), len(stack)
                 continue
             tag = tag.lower()
-            if m[1]:
+            if closing:
                 if any(x[0] == tag for x in stack):
                     while stack:
                         done = stack.pop()
@@ -93,10 +97,10 @@ class Reader:
                     yield "close", done[1], "", path(), len(stack)
                     if done[0] == "p":
                         break
-            names = " ".join(next(filter(None, x), "") for x in NAMED.findall(m[3])) if "=" in m[3] else ""
+            names = " ".join(next(filter(None, x), "") for x in NAMED.findall(attributes)) if "=" in attributes else ""
             name = f"{tag}.{names}" if names else tag
             yield "open", name, "", path(), len(stack)
-            if tag in VOID or m[3].endswith("/"):
+            if tag in VOID or attributes.endswith("/"):
                 yield "close", name, "", path(), len(stack)
                 continue
             stack.append((tag, name, _mix(path(), name)))
@@ -232,7 +236,7 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
         if tag == "br":
             line.append(" ")
             continue
-        if tag in BLOCK or is_aside(name):
+        if tag in BLOCK:
             flush()
         step = 1 if kind == "open" else -1
         if is_aside(name) and not (article and tag == "header"):
