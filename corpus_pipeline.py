@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, mixing, near_dedup, sharding
-from lodestone.llm.common import shared_dir, table
+from lodestone.llm.common import remove, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -63,10 +63,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; every stage's rows are written to the shared folder and read again."""
+    """Applies the stages to documents; every stage's rows are written to the shared folder and read again, and go once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
         docs = spark.read.parquet(f"{base}/{i}")
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs

@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared checkpoint folder.
 
