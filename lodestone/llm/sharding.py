@@ -7,14 +7,13 @@ children whose weight (or whose sibling's weight) changed win or lose rows: move
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_unit
-
 #: Rows of one shard are numbered in this many chunks, so that no task holds a whole shard.
 CHUNKS = 512
 
@@ -45,19 +44,23 @@ def layout(shards: int, base: int = 24, racks: int = 2, per_rack: int = 4) -> li
     return out
 
 
-def _lookup(values: Sequence[Sequence[object]], kind: str) -> Column:
-    return F.array(*[F.array(*[F.lit(x) for x in row]).cast(f"array<{kind}>") for row in values])
+def _node(level: str, name: str) -> int:
+    """A node's identity as a signed 64-bit number: the hash of its level and name."""
+    return int.from_bytes(hashlib.blake2b(f"{level}:{name}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _descend(key: Column, level: str, children: Sequence[Sequence[tuple[str, float, int]]], parent: Column) -> Column:
+    """The number of the child whose weighted draw is smallest; children: per parent (name, weight, number).
+
+    The table is a constant, and the parent is named once, so that levels nest without growing the plan.
+    """
+    table = F.array(*[F.array(*[F.struct(F.lit(_node(level, n)).alias("node"), F.lit(float(w)).alias("weight"), F.lit(i).alias("number")) for n, w, i in row]) for row in children])
 
+    def draw(c: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(key, c["node"]), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.ln(u) / c["weight"]).alias("x"), c["number"].alias("number"))
 
-def _draw(key: Column, level: str, names: Sequence[Sequence[str]], weights: Sequence[Sequence[float]], parent: Column) -> Column:
-    """The number of the child, among those of the parent numbered `parent`, whose weighted draw is smallest."""
-    own, w = F.get(_lookup(names, "string"), parent), F.get(_lookup(weights, "double"), parent)
-    draws = []
-    for i in range(max(map(len, names))):
-        name = F.get(own, F.lit(i))
-        x = -F.ln(hash_unit(key, F.concat(F.lit(f"{level}:"), name))) / F.get(w, F.lit(i))
-        draws.append(F.when(name.isNotNull(), F.struct(x.alias("x"), F.lit(i).alias("i"))))
-    return F.array_min(F.array(*draws)).getField("i")
+    return F.array_min(F.transform(F.get(table, parent), draw))["number"]
 
 
 def _by(leaves: Sequence[Leaf], what: str) -> dict[str, list[Leaf]]:
@@ -71,25 +74,29 @@ def _weight(leaves: Sequence[Leaf]) -> float:
     return sum(x.weight for x in leaves)
 
 
-def with_shard(df: DataFrame, key: Column, tree: Sequence[Leaf], name: str) -> DataFrame:
-    """Adds the shard of a key: one draw among regions, one among the region's racks, one among the rack's shards."""
+def shard_of(key: Column, tree: Sequence[Leaf]) -> Column:
+    """The shard of a key: one draw among regions, one among the region's racks, one among the rack's shards."""
     if len({x.shard for x in tree}) != len(tree) or not all(x.weight > 0 for x in tree):
         raise ValueError("shards must be distinct and weights positive")
     regions = _by(tree, "region")
-    racks = [_by(x, "rack") for x in regions.values()]
-    flat = [x for own in racks for x in own.values()]
-    first = [sum(map(len, racks[:i])) for i in range(len(racks))]
-    df = df.withColumn("__region", _draw(key, "region", [list(regions)], [[_weight(x) for x in regions.values()]], F.lit(0)))
-    df = df.withColumn("__rack", F.get(F.array(*[F.lit(x) for x in first]), F.col("__region")) + _draw(key, "rack", [list(x) for x in racks], [[_weight(y) for y in x.values()] for x in racks], F.col("__region")))
-    at = _draw(key, "shard", [[str(x.shard) for x in own] for own in flat], [[x.weight for x in own] for own in flat], F.col("__rack"))
-    return df.withColumn(name, F.get(F.get(_lookup([[x.shard for x in own] for own in flat], "int"), F.col("__rack")), at)).drop("__region", "__rack")
+    top = [[(name, _weight(own), i) for i, (name, own) in enumerate(regions.items())]]
+    racks: list[tuple[str, list[Leaf]]] = []
+    middle = []
+    for own in regions.values():
+        row = []
+        for name, leaves in _by(own, "rack").items():
+            row.append((name, _weight(leaves), len(racks)))
+            racks.append((name, leaves))
+        middle.append(row)
+    leaves = [[(str(x.shard), x.weight, x.shard) for x in own] for _, own in racks]
+    return _descend(key, "shard", leaves, _descend(key, "rack", middle, _descend(key, "region", top, F.lit(0))))
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
     """Puts every row into a shard of layout(shards) by the law `key`: id and shard count alone decide.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot (0, 1, ... within the shard) and
-    grown_shard, the shard under one shard more. A null text has size 8 and the CRC of no bytes; a null id is the key ''.
+    grown_shard, the shard under one shard more. A null text has size 8 and the CRC of no bytes; a null id is a key of its own.
     Repeated rows fall into one shard and get slots of their own. Other columns of docs are ignored, an empty table gives
     an empty result. Slots follow (chunk, id, CRC, size), chunk being a hash of the id: rows are numbered within chunks
     and chunks are offset by counts, so that no task sorts a whole shard.
@@ -100,9 +107,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = docs.select(key.cast("long").alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     key, chunk = F.col("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int")
     tree, grown = layout(shards, base), layout(shards + 1, base)
-    rows = with_shard(with_shard(rows, key, tree, "shard"), key, grown, "grown_shard").withColumn("__chunk", chunk).withColumn("law", F.lit("key"))
-    ids = with_shard(docs.select(F.col(id_col).cast("long").alias("doc_id")), key, tree, "shard")
-    counts = ids.groupBy("shard", chunk.alias("__chunk")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = rows.select("*", F.lit("key").alias("law"), shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"), chunk.alias("__chunk"))
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).select(shard_of(key, tree).alias("shard"), chunk.alias("__chunk"))
+    counts = ids.groupBy("shard", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     # shards * CHUNKS rows at most, whatever the input: a bound that holds for broadcast.
     before = counts.selectExpr("shard", "__chunk", "sum(__n) over (partition by shard order by __chunk rows between unbounded preceding and 1 preceding) as __before")
     local = rows.selectExpr("*", "row_number() over (partition by shard, __chunk order by doc_id, text_crc32, size) as __row")
