@@ -47,7 +47,7 @@ def ngrams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(offsets) - 1
     lengths = np.diff(offsets)
     padded = np.full(len(body) + 2 * n, 32, np.uint8)
-    row = np.repeat(np.arange(n), lengths + 2)
+    row = np.repeat(np.arange(n, dtype=np.int32), lengths + 2)
     inside = np.ones(len(padded), bool)
     edge = np.cumsum(lengths + 2)
     inside[edge - 1] = False
@@ -69,7 +69,7 @@ def ngrams(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         buckets.append(h[same])
         rows.append(row[: len(h)][same])
     if not buckets:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
     return np.concatenate(buckets), np.concatenate(rows)
 
 

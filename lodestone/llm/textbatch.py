@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about this many bytes; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def as_strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
