@@ -33,10 +33,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of the benchmark."""
+    """Drops the documents that hold a window of the benchmark, those without id too."""
     out = near_dedup.durable(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
-    gone = out.where("contaminated").select("doc_id", "__h").distinct()
-    return near_dedup.only_ids(docs.select(*COLUMNS).withColumn("__h", F.xxhash64("text")), gone, ["doc_id", "__h"], "left_anti").select(*COLUMNS)
+    gone = out.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__hh")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hh"))
+    return near_dedup.only_ids(docs.select(*COLUMNS).withColumn("__h", F.xxhash64("text")), gone, same, "left_anti").select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def _bayes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], ["a", "b"])
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, col: str | list[str] = "id", how: str = "left_semi", bound: int = BROADCAST_IDS) -> DataFrame:
+def only_ids(rows: DataFrame, ids: DataFrame, col: str | Column = "id", how: str = "left_semi", bound: int = BROADCAST_IDS) -> DataFrame:
     """Rows whose id is (not) among ids (col). Up to `bound` ids go to the rows, so that texts aren't shuffled for it."""
     return rows.join(F.broadcast(ids) if ids.count() <= bound else ids, col, how)
 

@@ -160,6 +160,18 @@ def test_pipeline_keeps_clean_documents_and_every_decision_takes_effect(spark, t
     assert out.groupBy("shard").agg({"slot": "max", "*": "count"}).where("`max(slot)` + 1 <> `count(1)`").count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_contaminated_documents_without_id_are_dropped(spark, tmp_path, docs, prose, limit, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline.near_dedup.only_ids, "__defaults__", ("id", "left_semi", limit))
+    item = prose(30, 500)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, item + " and more"), (None, prose(40, 1)), (None, None), (7, item), (7, prose(40, 2)), (8, prose(40, 3))]
+    got = corpus_pipeline.decontaminate_stage(spark, docs(rows), str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted((rows[i] for i in (1, 2, 4, 5)), key=str)
+
+
 def test_query_agrees_with_sql(spark, duck):
     from helpers import DATA, same_rows
 
