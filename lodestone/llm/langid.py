@@ -2,8 +2,10 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams; a linear softmax reads the language off it. As both are
 linear, a trained model is one table of scores per hash bucket, and a prediction the mean of the rows that a text's
-n-grams point at. Confidence is calibrated by a temperature, and rejection by a confidence that hardly any correct
-prediction of the calibration rows falls below.
+n-grams point at. Confidence is calibrated by a temperature. A softmax is sure of texts in no learned language too, so
+rejection looks at familiarity: the mean log-frequency of a text's n-grams in training, 0 being that of uniform buckets.
+Its limit depends on the number of n-grams and is one that hardly any calibration row, whole or cut short, falls below,
+and lower yet where the same rows with shuffled letters leave room.
 """
 
 from __future__ import annotations
@@ -27,8 +29,15 @@ SAMPLE_PER_LANG = 400
 EPOCHS = 6
 #: A small sample gets more epochs, up to this many steps.
 STEPS = 600
-#: At most this share of correct calibration rows is rejected.
+#: About this share of the calibration rows may be rejected at most.
 REJECT_SHARE = 0.001
+#: Cuts of every calibration row, in words, and the fewest rows and cuts of a size that set a limit of their own.
+CUTS = (1, 1, 2, 2, 3, 4, 6, 8, 12, 20, 40)
+LEAST_CUTS = 100
+#: Cuts of few rows do not show how low clean texts go; a limit is this many standard deviations below their mean or lower.
+SPREAD = 4
+#: The size of a text is the whole part of the binary logarithm of its n-grams, up to this.
+SIZES = 16
 UNKNOWN = "und"
 _MULTIPLIERS = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
 
@@ -86,20 +95,40 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.concatenate(weights) if ids else np.zeros(0), np.array(starts)
 
 
+def sizes_of(total: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(total, 1)).astype(np.int64), SIZES)
+
+
+def log_frequency(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of each bucket, relative to uniform; every text weighs 1."""
+    count = np.bincount(ids, weights=weights, minlength=BUCKETS)
+    return np.log((count / max(count.sum(), 1e-9) + 1e-6) * BUCKETS)
+
+
+def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 @dataclass
 class Model:
     langs: list[str]
     table: np.ndarray  # BUCKETS x langs: the logits that an n-gram stands for
     bias: np.ndarray
+    usual: np.ndarray  # the log-frequency of each bucket in training
+    limits: np.ndarray  # by size: texts less familiar are rejected
     temperature: float = 1.0
-    reject_below: float = 0.0
 
-    def logits(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def read(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, familiarity and number of n-grams of each text."""
         n = len(offsets) - 1
         bucket, row = ngrams(body, offsets)
         total = np.bincount(row, minlength=n)
-        sums = np.stack([np.bincount(row, weights=self.table[:, k][bucket], minlength=n) for k in range(len(self.langs))], 1)
-        return sums / np.maximum(total, 1)[:, None] + self.bias
+        sums = np.stack([np.bincount(row, weights=column[bucket], minlength=n) for column in (*self.table.T, self.usual)], 1) / np.maximum(total, 1)[:, None]
+        return sums[:, :-1] + self.bias, sums[:, -1], total
+
+    def strange(self, familiar: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return familiar < self.limits[sizes_of(total)]
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -149,16 +178,75 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, dim: int =
             bias -= step * p.mean(0)
             # Buckets are rarely shared inside a batch; the sum per bucket is what add.at gives.
             np.add.at(emb, i, -step * 25 * w[:, None] * back[who] / np.sqrt(len(batch)))
-    model = Model(langs, emb @ out, bias)
-    return calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], [x for x, h in zip(labels, held, strict=True) if h])
+    model = Model(langs, emb @ out, bias, log_frequency(ids, weights), np.full(SIZES + 1, -np.inf))
+    if not held.any():
+        # Too few rows to leave some out of training: each is held against the n-grams of the others.
+        spans = [slice(starts[i], starts[i + 1]) for i in range(len(texts))]
+        others = [log_frequency(np.concatenate([ids[x] for x in spans if x != own]), np.concatenate([weights[x] for x in spans if x != own])) for own in spans] if len(texts) > 1 else []
+        cuts = [calibration_cuts([t], rng) for t in texts[: len(others)]]
+        parts = [tuple(familiarity(model, side, usual) for side in both) for both, usual in zip(cuts, others, strict=True)]
+        model.limits = limits_of(*[tuple(np.concatenate(x) for x in zip(*side, strict=True)) for side in zip(*parts, strict=True)]) if parts else model.limits
+        return model
+    rest = [t for t, h in zip(texts, held, strict=True) if h]
+    model.limits = limits_of(*[familiarity(model, side, model.usual) for side in calibration_cuts(rest, rng)])
+    return calibrate(model, rest, [x for x, h in zip(labels, held, strict=True) if h])
+
+
+def calibration_cuts(texts: list[str], rng: np.random.Generator) -> tuple[list[str], list[str]]:
+    """The texts and cuts of them that hold letters, and the same with their letters shuffled."""
+    clean = []
+    for text in texts:
+        words = text.split()
+        for k in CUTS:
+            at = int(rng.integers(0, max(1, len(words) - k + 1)))
+            clean.append(" ".join(words[at : at + k]))
+        clean.append(text)
+    clean = [t for t in clean if any(map(str.isalpha, t))]
+    noise = []
+    for text in clean:
+        chars = np.array(list(text), object)
+        at = np.flatnonzero([c.isalpha() for c in text])
+        chars[at] = chars[rng.permutation(at)]
+        noise.append("".join(chars))
+    return clean, noise
+
+
+def familiarity(model: Model, texts: list[str], usual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(familiarity, n-grams) of each text; texts are read in runs of bounded size."""
+    out, run, size = [], [], 0
+    for i, text in enumerate(texts):
+        run.append(text)
+        size += len(text)
+        if size > 1 << 20 or i == len(texts) - 1:
+            bucket, row = ngrams(*packed(run))
+            total = np.bincount(row, minlength=len(run))
+            out.append((np.bincount(row, weights=usual[bucket], minlength=len(run)) / np.maximum(total, 1), total))
+            run, size = [], 0
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0), np.zeros(0, np.int64))
+
+
+def limits_of(clean: tuple[np.ndarray, np.ndarray], noise: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """By size: the familiarity that REJECT_SHARE of clean texts stay below, SPREAD deviations below their mean at least, or halfway to what noise reaches if that is lower.
+
+    A size of too few clean texts has the limit of the nearest shorter size, or else the lowest of all.
+    """
+    out = np.full(SIZES + 1, np.nan)
+    for size in range(SIZES + 1):
+        x, y = np.sort(clean[0][sizes_of(clean[1]) == size]), np.sort(noise[0][sizes_of(noise[1]) == size])
+        if len(x) >= min(LEAST_CUTS, len(clean[0]) / 20 + 1):
+            low = min(x[int(len(x) * REJECT_SHARE)], x.mean() - SPREAD * x.std())
+            out[size] = min(low, (low + y[int(len(y) * (1 - REJECT_SHARE))]) / 2) if len(y) and len(x) else low
+    if np.isnan(out).all():
+        return np.full(SIZES + 1, -np.inf)
+    last = np.nanmin(out)
+    for size in range(SIZES + 1):
+        last = out[size] = last if np.isnan(out[size]) else out[size]
+    return out
 
 
 def calibrate(model: Model, texts: list[str], labels: list[str]) -> Model:
-    if not texts:
-        return model
     y = np.array([model.langs.index(x) if x in model.langs else -1 for x in labels])
-    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-    logits = np.concatenate([model.logits(x, np.array([0, len(x)])) for x in raw])[y >= 0]
+    logits = np.concatenate([model.read(*packed([t]))[0] for t in texts])[y >= 0]
     y = y[y >= 0]
     if not len(y):
         return model
@@ -169,11 +257,6 @@ def calibrate(model: Model, texts: list[str], labels: list[str]) -> Model:
         return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(y)), y]).mean())
 
     model.temperature = min(np.geomspace(0.05, 5, 60), key=loss)
-    p = model.probabilities(logits)
-    sure = np.sort(p.max(1)[p.argmax(1) == y])
-    if len(sure):
-        # Never above 0.4: a text of which one language is much likelier than the others is kept.
-        model.reject_below = float(min(0.4, sure[int(len(sure) * REJECT_SHARE)]))
     return model
 
 
@@ -199,8 +282,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """doc_id, held_out, lang_pred, score and rejected of every row, and the columns of `keep`.
 
     A text that is null or has no letter is `und` with score 0 and rejected, and so is every text without a model.
-    Any other text has a learned language, its calibrated probability, and is rejected only below the model's
-    threshold. Repeated rows are predicted alike; very long texts are read whole; other columns are ignored.
+    Any other text has a learned language, its calibrated probability, and is rejected only if it is less familiar than
+    the model's limit for its size; a model of a single training row has no limits. Repeated rows are predicted alike; very long texts are read whole; other columns are ignored.
     """
     out = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("__t"),
@@ -210,14 +293,17 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, letters = as_strings(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            names, scores = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
+            names, scores, rejected = np.full(len(text), UNKNOWN, object), np.zeros(len(text)), ~letters
             if model is not None:
                 for at, body, offsets in slices(text):
-                    p = model.probabilities(model.logits(body, offsets))
+                    logits, familiar, total = model.read(body, offsets)
+                    p = model.probabilities(logits)
+                    rejected[at : at + len(p)] |= model.strange(familiar, total)
                     names[at : at + len(p)] = np.array(model.langs, object)[p.argmax(1)]
                     scores[at : at + len(p)] = np.clip(p.max(1), 0, 1)
                 names[~letters], scores[~letters] = UNKNOWN, 0.0
-            rejected = ~letters | (scores < (model.reject_below if model else 2))
+            else:
+                rejected[:] = True
             rest = [batch.column(i) for i in range(4, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected), *rest], names=out_names)
 

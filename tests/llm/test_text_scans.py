@@ -115,6 +115,33 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert sum(r["rejected"] for r in got) <= 2
 
 
+def test_texts_in_no_learned_language_are_rejected_and_clean_ones_stay(spark):
+    import random
+
+    from helpers import DATA
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows, r = [x["text"] for x in table.where(langid.held_out(table["doc_id"]) & table["text"].rlike("[a-z]")).select("text").collect()], random.Random(3)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    random_letters = [" ".join("".join(r.choice(alphabet) for _ in range(r.randrange(3, 10))) for _ in range(12)) for _ in range(200)]
+    foreign = ["Wczoraj poszedłem do sklepu i kupiłem świeży chleb", "Сегодня хорошая погода и мы идём гулять в парк", "今天天气很好我们去公园散步吧", "Bugün hava çok güzel ve parka yürüyüşe gidiyoruz"]
+    short = [" ".join(t.split()[:k]) for t in rows for k in (1, 2, 4, 8) if any(map(str.isalpha, "".join(t.split()[:k])))]
+    texts = [("noise", t) for t in random_letters] + [("foreign", t) for t in foreign] + [("whole", t) for t in rows] + [("short", t) for t in short]
+    asked = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, kind string")
+    share = {}
+    for x in langid.predict(asked, langid.fit(table), keep=("kind",)).collect():
+        share.setdefault(x["kind"], []).append(x["rejected"])
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    assert share["noise"] > 0.95 and share["foreign"] == 1 and share["whole"] <= 0.01 and share["short"] <= 0.02, share
+
+
+def test_one_learned_language_and_few_rows_reject_too():
+    for n in (8, 60):
+        model = langid.train(["the cat sat on the mat near the house"] * n, ["en"] * n)
+        familiar, total = model.read(*langid.packed(["the cat sat on the mat", "the house", "быть или не быть", "xq zvk wjqx kzzv qqxw"]))[1:]
+        assert list(model.strange(familiar, total)) == [False, False, True, True], n
+
+
 def test_texts_without_letters_are_unknown_and_models_need_labels(docs):
     rows = [(1, None), (2, "12 34 !"), (3, ""), (None, "abc def"), (5, "x")]
     got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in langid.identify(docs([(*r, "s", None) for r in rows])).collect()}
