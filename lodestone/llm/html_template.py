@@ -34,7 +34,8 @@ EVERYWHERE = ""
 
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+)|<""", re.S)
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(>?)")
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMED = re.compile(r"class|id|role", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
@@ -43,9 +44,11 @@ BLOCK = {
 }
 #: An element that may not hold a block of its own kind ends where the next one begins.
 SELF_ENDING = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-#: Elements, and words in class, id or role, that mark what isn't the article.
+#: Elements, and whole names in class, id or role, that mark what isn't the article.
 ASIDE_TAGS = {"head", "nav", "menu", "header", "footer", "aside", "form", "button", "dialog", *RAW}
-ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed)?|promos?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|aside|footers?|headers?|masthead|cookies?|consent|notices?|alerts?|popups?|modal|newsletter|subscribe|share|social|related|recommended|comments?|respond|disqus|replies|widgets?)(?:$|[\s_-])", re.I)
+ASIDE_NAMES = re.compile(r"ads?|adverts?|advertisements?|banners?|sponsor(?:ed)?|promos?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|aside|footers?|headers?|masthead|cookies?|consent|notices?|alerts?|popups?|modal|newsletter|subscribe|share|social|related|recommended|comments?|respond|disqus|replies|widgets?", re.I)
+#: Elements that no name marks: the page itself and the article.
+NEVER_ASIDE = {"html", "body", "main", "article"}
 ARTICLE_TAGS = {"article", "main"}
 
 
@@ -97,7 +100,7 @@ class Reader:
                     yield "close", done[1], "", path(), len(stack)
                     if done[0] == "p":
                         break
-            names = " ".join(next(filter(None, x), "") for x in NAMED.findall(attributes)) if "=" in attributes else ""
+            names = " ".join(next(filter(None, x[1:]), "") for x in ATTRIBUTE.findall(attributes) if x[0].lower() in ("class", "id", "role")) if "=" in attributes and NAMED.search(attributes) else ""
             name = f"{tag}.{names}" if names else tag
             yield "open", name, "", path(), len(stack)
             if tag in VOID or attributes.endswith("/"):
@@ -132,9 +135,46 @@ def _mix(path: int, name: str) -> int:
     return got
 
 
-def is_aside(name: str) -> bool:
-    tag, _, names = name.partition(".")
-    return tag in ASIDE_TAGS or bool(names and ASIDE_WORDS.search(names))
+def word_token(path: int, word: str) -> int:
+    """Even, as those of tags are odd."""
+    return _mix(path, "=" + word) & ~1
+
+
+def tag_token(path: int, kind: str, name: str) -> int:
+    return _mix(path, kind + name) | 1
+
+
+def asides(events: list[tuple[str, str, str, int, int]], known: tuple[frozenset[int] | set[int], ...]) -> set[int]:
+    """Where elements open that are cut: those of ASIDE_TAGS, and those with an aside name that belong to a known template.
+
+    Without any template the name alone decides. A header in the article is the article's own. Where all articles of a page
+    stand in elements that would be cut, these are not.
+    """
+    cut, holding, stack = set(), set(), []
+    aside = article = 0
+    free = False
+    for i, (kind, name, _, path, _) in enumerate(events):
+        if kind == "open":
+            tag, _, names = name.partition(".")
+            if tag in ASIDE_TAGS:
+                is_cut = not (article and tag == "header")
+            else:
+                marks = [x for x in names.split() if ASIDE_NAMES.fullmatch(x) and not (article and x.lower().startswith("header"))] if names and tag not in NEVER_ASIDE else []
+                is_cut = bool(marks) and (not any(known) or any(tag_token(path, kind, name) in x for x in known))
+            if is_cut:
+                cut.add(i)
+                aside += 1
+            if is_article(name):
+                article += 1
+                if aside:
+                    holding.update(stack, [i])
+                else:
+                    free = True
+            stack.append(i)
+        elif kind == "close":
+            aside -= stack.pop() in cut
+            article -= is_article(name)
+    return cut if free else cut - holding
 
 
 def is_article(name: str) -> bool:
@@ -151,13 +191,13 @@ def page_tokens(page: str) -> dict[int, tuple[int, str]]:
         if kind == "text":
             if not inside:
                 for word in text.split():
-                    t = _mix(path, "=" + word)
+                    t = word_token(path, word)
                     counts[t] += 1
                     what[t] = "=" + word
             continue
         if is_article(name):
             inside += 1 if kind == "open" else -1
-        t = _mix(path, kind + name)
+        t = tag_token(path, kind, name)
         counts[t] += 1
         what[t] = kind + " " + name
     return {t: (n, what[t]) for t, n in counts.items()}
@@ -191,8 +231,8 @@ def host_of(url: Column) -> Column:
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(host, tokens) from pages (host, page, html): the tokens of every host's valid classes; host '' is the whole corpus.
 
-    A class is the tokens of equal vector; it is valid with min_pages pages and min_tokens tokens, and, so that the words
-    of copied articles do not pass for a template, on more than half of the host's pages.
+    A class is the tokens of equal vector; it is valid with min_pages pages and min_tokens tokens. So that the words of
+    copied articles do not pass for a template, words count only if they are on more than half of the host's pages.
     """
     tokens = pages.mapInArrow(_tokens, "host string, page long, token long, n long")
     mark = F.xxhash64("page", "n").cast("decimal(38,0)")
@@ -200,22 +240,26 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_tokens: int = MI
     everywhere = signed.groupBy("token").agg(F.sum("vector").cast("decimal(38,0)").alias("vector"), F.sum("support").alias("support")).select(F.lit(EVERYWHERE).alias("host"), "token", "vector", "support")
     n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     n = n.unionByName(n.agg(F.sum("pages").alias("pages")).select(F.lit(EVERYWHERE).alias("host"), F.coalesce("pages", F.lit(0)).alias("pages")))
-    frequent = signed.unionByName(everywhere).where(F.col("support") >= min_pages).join(n, "host").where(F.col("support") * 2 > F.col("pages"))
+    frequent = signed.unionByName(everywhere).where(F.col("support") >= min_pages).join(n, "host").where((F.col("support") * 2 > F.col("pages")) | (F.col("token").bitwiseAND(F.lit(1)) == 1))
     classes = frequent.groupBy("host", "vector", "support").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") >= min_tokens)
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
 
-def main_text(page: str, template: frozenset[int] | set[int]) -> str:
+def main_text(page: str, template: frozenset[int] | set[int], everywhere: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of the slots in the article, one block a line.
 
     Slots are what stands between template tokens; a word that is itself a template token belongs to no slot. Without an
-    article or main element, the slots of the whole body count. Elements that mark menus, adverts and the like hold no
-    main text wherever they stand. Markup parts blocks or vanishes whether or not it belongs to the template.
+    article or main element, the slots of the whole body count. Elements that mark menus, adverts and the like (asides())
+    hold no main text; their names count if the host's template, or that of the whole corpus, has the element. Markup parts
+    blocks or vanishes whether or not it belongs to the template.
     """
     blocks: list[tuple[bool, list[str]]] = []
     line: list[str] = []
     aside = article = 0
     any_article = False
+    events = list(Reader(page).events())
+    cut = asides(events, (template, everywhere))
+    stack: list[int] = []
 
     def flush() -> None:
         if line:
@@ -224,22 +268,25 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
                 blocks.append((article > 0, [text]))
             line.clear()
 
-    for kind, name, text, path, _ in Reader(page).events():
+    for i, (kind, name, text, path, _) in enumerate(events):
         if kind == "text":
             if aside:
                 continue
             if not article and template:
-                text = re.sub(r"\S+", lambda m, p=path: "" if _mix(p, "=" + m[0]) in template else m[0], text)
+                text = re.sub(r"\S+", lambda m, p=path: "" if word_token(p, m[0]) in template else m[0], text)
             line.append(text)
             continue
         tag = name.partition(".")[0]
+        step = 1 if kind == "open" else -1
+        if kind == "open":
+            stack.append(i)
+        at = i if kind == "open" else stack.pop()
         if tag == "br":
             line.append(" ")
             continue
         if tag in BLOCK:
             flush()
-        step = 1 if kind == "open" else -1
-        if is_aside(name) and not (article and tag == "header"):
+        if at in cut:
             aside += step
         if is_article(name):
             article += step
@@ -276,7 +323,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(sets) > 1000:
                         sets.clear()
                     sets[host] = frozenset(tokens.as_py()) if tokens.is_valid else fallback
-                texts.append(main_text(page.as_py(), sets[host]))
+                texts.append(main_text(page.as_py(), sets[host], fallback))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     id_type = dict(rows.dtypes)["page_id"]

@@ -74,6 +74,26 @@ def test_main_text(spark, limit):
     assert ht.extract(df.where("page_id > 99")).count() == 0
 
 
+KEPT = [
+    ('<body class="no-sidebar"><p>text</p></body>', "text"),
+    ('<body class="sidebar"><article class="post comments"><p>text</p></article></body>', "text"),
+    ('<article class="has-nav single"><div class="post-header"><h1>T</h1></div><p class="social-policy">text</p><p id="related-work">more</p></article>', "T\ntext\nmore"),
+    ('<div class="widget"><article><p>text</p></article></div><div class="related"><p>away</p></div>', "text"),
+    ('<form><main><p>text</p></main></form>', "text"),
+    ('<article><p data-id="ad" title=" class=ad ">text</p><div class="header"><h2>T</h2></div></article>', "text\nT"),
+    ('<article><p>text</p><div class="x ad">Buy!</div></article><aside><article>teaser</article></aside>', "text"),
+]
+
+
+def test_names_cut_nothing_but_asides():
+    for html, want in KEPT:
+        assert ht.main_text(html, frozenset()) == want, html
+    part = '<article><p>text</p><div class="notice">Section 3</div></article>'
+    opened = {w: t for t, (_, w) in ht.page_tokens(part).items()}
+    assert ht.main_text(part, {opened["open div.notice"]}) == "text"
+    assert ht.main_text(part, {opened["open article"]}) == "text\nSection 3"
+
+
 def test_templates_are_the_tokens_of_equal_vectors(spark):
     rows = [("h", i, page(f"title{i}", "<p>x</p>" * (i % 3 + 1))) for i in range(6)] + [("rare", 9, "<html><b>x</b></html>")]
     got = {r["host"]: set(r["tokens"]) for r in ht.templates(spark.createDataFrame(rows, "host string, page long, html string")).collect()}
