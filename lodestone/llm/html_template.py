@@ -2,8 +2,9 @@
 
 Tokens are tags and words, told apart by the path of open elements above them. Tokens of one host's pages that occur
 equally often on every page (equal occurrence vectors) form an equivalence class. A class is valid if it has enough tokens
-and pages; valid classes nest by the paths of their tokens and make up the host's template. What is left of a page between
-template tokens are its slots, and the slots that lie in the article are its main text.
+and pages; the tokens of valid classes, taken together and not nested, make up the host's template. An article or main
+element, if the page has one, is the main text, and the template only says which named elements in it are cut; elsewhere
+the main text is what is left between template words. Words inside the article are in no class.
 
 Vectors are never built: a token's vector is told by the sum over pages of a hash of (page, count), which partial sums
 combine before any shuffle, so one host may hold any share of the pages. Hosts of too few pages are read by the classes of
