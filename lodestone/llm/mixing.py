@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document draws an exponential key -ln(u) / weight, u being a hash of its id and weight its quality; in key order a
-source is a weighted sample without replacement. A source's target is met by complete epochs first; the rest is a prefix
+Every document draws an exponential key -ln(u) / weight, u being a hash of its id and text and weight its quality; in key
+order a source is a weighted sample without replacement. A source's target is met by complete epochs first; the rest is a prefix
 of the key order, cut where the prefix sum of sizes comes nearest to the budget.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_unit
+from lodestone.llm.common import Scratch, hash_unit, join_unique
 
 #: Keys are cut into this many ranges; prefix sums run within a range and ranges are offset by their sums.
 BUCKETS = 4096
@@ -74,20 +74,22 @@ def mix(
     An empty table gives an empty result; other columns are ignored. With cap 3 no document is taken more than 3 times:
     a target of exactly 3 times the size is three complete epochs and nothing else.
 
-    The largest source may hold any share of the rows: sums run per (source, key range), in the same partitioning in
-    which rows meet their source's figures, so neither a join nor a window ever gathers a source.
+    Texts are read once, for their size and hash; joins and windows see a narrow table. The largest source may hold any
+    share of the rows: sums run per (source, key range), in the same partitioning in which rows meet their source's
+    figures, so neither a join nor a window ever gathers a source. Rows alike in id and text share a key range.
     """
     own = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"),
+        F.col(id_col).cast("long").alias("doc_id"), word_count(F.col(text_col)).alias("size"), hash_unit(F.lit(seed), F.col(id_col).cast("long"), F.md5(F.col(text_col).cast("binary"))).alias("__unit"),
         F.col(source_col).isNull().alias("__null"), F.coalesce(F.col(source_col), F.lit("")).alias("__source"), *[F.col(c).alias(f"__keep_{c}") for c in keep],
     )
+    own = Scratch(docs.sparkSession).put(own)
     if quality is not None:
         best = quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("double")).alias("__q"))
-        own = own.join(best, "doc_id", "left")
+        own = join_unique(own, best, ["doc_id"])
         weight = F.greatest(F.lit(1 / 16), F.least(F.lit(16.0), 1 + F.coalesce(F.col("__q"), F.lit(0.0))))
     else:
         weight = F.lit(1.0)
-    own = own.withColumn("__key", -F.ln(hash_unit(F.lit(seed), F.col("doc_id"))) / weight)
+    own = own.withColumn("__key", -F.ln("__unit") / weight).drop("__unit")
     # 1 - exp(-key) grows with the key and is uniform for weight 1.
     own = own.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor(F.lit(BUCKETS) * (1 - F.exp(-F.col("__key"))))).cast("int"))
     group = ["__null", "__source"]

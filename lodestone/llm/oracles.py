@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_MIX_UNIT = "((('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
+_MIX_UNIT = "((('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
 
 ORACLES: dict[str, str] = {
     "op2_preference": """
