@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, mixing, near_dedup, sharding
-from lodestone.llm.common import remove, shared_dir, table
+from lodestone.llm.common import Scratch, join_unique, remove, shared_dir, table, with_row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: What names a row of a stage's table.
+ROW = ("__file", "__row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,27 +25,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest id; rows that repeat its id are one document.
+    """Keeps one row of each group of near copies: that of the smallest id, and of its rows the first in the files.
 
-    What is dropped is told by ids, so texts are not shuffled while the dropped ids are few enough to send to the rows.
+    Decisions are told by row, so repeated ids and rows without id are rows like any other; texts without words stay.
     """
-    out = near_dedup.durable(near_dedup.dedup(docs))
-    gone = out.where(~F.col("kept")).select("doc_id").distinct()
-    return near_dedup.only_ids(docs.select(*COLUMNS), gone, "doc_id", "left_anti")
+    scratch = Scratch(spark)
+    rows = with_row_key(docs.select(*COLUMNS), scratch)
+    out = scratch.put(near_dedup.dedup(rows, keep=ROW).where("group_id is not null"))
+    first = F.struct(*ROW)
+    best = out.where("kept").groupBy("group_id").agg(F.min(first).alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    gone = scratch.put(join_unique(out, best, ["group_id"]).where(~F.col("kept") | (F.col("__best") != first)).select(*ROW))
+    scratch.drop(out)
+    return near_dedup.only_ids(rows, gone, list(ROW), "left_anti").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of the benchmark, those without id too."""
-    out = near_dedup.durable(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
-    gone = out.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__hh")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hh"))
-    return near_dedup.only_ids(docs.select(*COLUMNS).withColumn("__h", F.xxhash64("text")), gone, same, "left_anti").select(*COLUMNS)
+    """Drops the documents that hold a window of the benchmark."""
+    scratch = Scratch(spark)
+    rows = with_row_key(docs.select(*COLUMNS), scratch)
+    gone = scratch.put(decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=ROW).where("contaminated").select(*ROW))
+    return near_dedup.only_ids(rows, gone, list(ROW), "left_anti").select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents as the mix takes them: a row for each copy."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), keep=COLUMNS[1:])
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Repeats or leaves out documents as the mix takes them: a row for each copy.
+
+    Copies are decided in a narrow table; texts meet them once, by row, so that neither a source nor an id gathers texts.
+    """
+    scratch = Scratch(spark)
+    rows = with_row_key(docs.select(*COLUMNS), scratch)
+    copies = scratch.put(mixing.mix(rows, table(spark, sf_dir, "labels"), keep=ROW).where("copies > 0").select(*ROW, "copies"))
+    mixed = rows.join(copies.hint("shuffle_hash"), list(ROW))
+    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
