@@ -8,6 +8,9 @@ chance of reaching the threshold is below the miss probability. Survivors are ve
 A bucket of m representatives never yields all its pairs: first all are compared with the bucket's hub, its smallest id;
 links give components; then only members outside the hub's component are compared with the members of other components.
 What is skipped are pairs already in one component, whose links could not change it, so no component is lost.
+
+Classes are numbered, and numbers, signatures and, for pairs whose signatures agree, texts are all that is shuffled. Pairs
+meet in groups of one class and a bounded number of partners, so that a class of many partners is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -20,21 +23,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable
+from lodestone.llm.common import Scratch, join_unique
 from lodestone.llm.textbatch import as_strings, slices
 
 SHINGLE = 5
 #: Similarity 0.75 or more, as whole numbers: 100 * |A & B| >= 75 * |A | B|.
 PERCENT = 75
-BANDS = 32
-ROWS = 4
-HASHES = BANDS * ROWS
+#: A pair at the threshold shares no band with a chance of (1 - 0.75^3)^24, or 2 in a million.
+BANDS = 24
+ROWS = 3
 BATCH = 16
+#: Those beyond the bands' serve the comparison only.
+HASHES = 96
 #: The chance, per comparison step, of dropping a pair that reaches the threshold.
 MISS = 1e-5
 #: Ids are broadcast to a scan up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
-#: Strays and members of a bucket meet in blocks of about this many.
+#: Strays and members of a bucket, and the partners of a class, meet in blocks of about this many.
 BLOCK_ROWS = 512
 PIECE = 1 << 21
 _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -132,36 +137,43 @@ def _each_set(text: pa.Array) -> Iterator[np.ndarray]:
             yield shingles(words)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a, b = _random(HASHES, 1) | np.uint64(1), _random(HASHES, 2)
-    for batch in batches:
-        sizes, one, two, sigs = [], [], [], []
-        for x in _each_set(as_strings(batch.column(1))):
-            sizes.append(len(x))
-            one.append(x.sum(dtype=np.uint64))
-            two.append(_mix(x ^ np.uint64(_BASE)).sum(dtype=np.uint64))
-            sigs.append(signature(x, a, b).tobytes() if len(x) else None)
-        hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (one, two)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *hashes, pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+def _sketch(kept: list[str]):
+    """(doc_id, text_hash, text, kept columns) to the same without text, but with n_shingles, a hash of the set in two halves, and its signature."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _random(HASHES, 1) | np.uint64(1), _random(HASHES, 2)
+        for batch in batches:
+            sizes, one, two, sigs = [], [], [], []
+            for x in _each_set(as_strings(batch.column(2))):
+                sizes.append(len(x))
+                one.append(x.sum(dtype=np.uint64))
+                two.append(_mix(x ^ np.uint64(_BASE)).sum(dtype=np.uint64))
+                sigs.append(signature(x, a, b).tobytes() if len(x) else None)
+            hashes = [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (one, two)]
+            rest = [batch.column(i) for i in range(3, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *hashes, pa.array(sigs, pa.binary()), *rest], ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig", *kept])
+
+    return run
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = pa.array([np.sort(x.view(np.int64)) for x in _each_set(as_strings(batch.column(1)))], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), values], ["id", "set"])
+
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The key of every band (columns) of every signature (rows)."""
+    part = sig[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(_random(BANDS, 3), part.shape[:2]).copy()
+    for r in range(ROWS):
+        key = _mix(key * np.uint64(_BASE) + part[:, :, r])
+    return key
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, sig) to a row per band: (key, band, id, n)."""
-    salt = _random(BANDS, 3)
+    """(id, sig) to a row per band: (key, id)."""
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(salt, sig.shape[:2]).copy()
-        for r in range(ROWS):
-            key = _mix(key * np.uint64(_BASE) + sig[:, :, r])
-        ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        band = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(n, BANDS))], ["key", "band", "id", "n"])
+        key = _keys(_signatures(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "id"])
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS, hashes: int = HASHES, batch: int = BATCH) -> list[int]:
@@ -180,150 +192,213 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, hashes: int = HASH
     return out
 
 
-def _bayes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sig_a, sig_b) to the pairs that no step drops."""
-    least = least_matches()
+def survivors(least: list[int], mine: np.ndarray, sig: np.ndarray, n: int, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of `at`, rows of sig, that may be as similar to a signature as the threshold asks: by size, then batch by batch."""
+    at = at[np.minimum(sizes[at], n) * 100 >= np.maximum(sizes[at], n) * PERCENT]
+    matches = np.zeros(len(at), np.int64)
+    for step, need in enumerate(least):
+        part = slice(step * BATCH, (step + 1) * BATCH)
+        matches = matches + (sig[at, part] == mine[part]).sum(1)
+        at, matches = at[matches >= need], matches[matches >= need]
+    return at
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, on: list[str] | Column, how: str = "left_semi", bound: int = BROADCAST_IDS) -> DataFrame:
+    """Rows whose key is (not) among ids. Up to `bound` ids go to the rows, so that texts aren't shuffled for it."""
+    return rows.join(F.broadcast(ids) if ids.count() <= bound else ids, on, how)
+
+
+def grouped(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) as members of groups (a, block, role, id): a in role 0, and about BLOCK_ROWS of its partners in role 1."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    many = blocks.where("blocks > 1")
+    partners = join_unique(pairs, many, ["a"]).select("a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    return heads.unionByName(partners)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bool, bool]]]]:
+    """Each batch, sorted by (group columns, role), with its runs of equal group and role: (from, to, is it a new group, role 1)."""
+    now = None
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
-        alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for step, need in enumerate(least):
-            cut = slice(step * BATCH, (step + 1) * BATCH)
-            matches = matches + (x[alive, cut] == y[alive, cut]).sum(1)
-            go = matches >= need
-            alive, matches = alive[go], matches[go]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], ["a", "b"])
-
-
-def only_ids(rows: DataFrame, ids: DataFrame, col: str | Column = "id", how: str = "left_semi", bound: int = BROADCAST_IDS) -> DataFrame:
-    """Rows whose id is (not) among ids (col). Up to `bound` ids go to the rows, so that texts aren't shuffled for it."""
-    return rows.join(F.broadcast(ids) if ids.count() <= bound else ids, col, how)
-
-
-def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links: first by signatures, then on the full sets of the survivors' texts."""
-    left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-    signed = pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b")
-    likely = durable(signed.mapInArrow(_bayes, "a long, b long"))
-    ids = durable(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = durable(only_ids(texts, ids).mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"]))
-    both = likely.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    inter = F.size(F.array_intersect("set_a", "set_b"))
-    both = both.select("a", "b", inter.alias("i"), (F.size("set_a") + F.size("set_b") - inter).alias("u"))
-    return both.where(F.col("i") * 100 >= F.col("u") * PERCENT).select("a", "b")
-
-
-def components(links: DataFrame) -> DataFrame:
+        if batch.num_rows:
+            group = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            role = batch.column(3).to_numpy()
+            edges = np.flatnonzero((group[1:] != group[:-1]).any(1) | (role[1:] != role[:-1])) + 1
+            runs = []
+            for x, y in zip([0, *edges], [*edges, len(role)], strict=True):
+                runs.append((x, y, tuple(group[x]) != now, bool(role[x])))
+                now = tuple(group[x])
+            yield batch, runs
+
+
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], ["a", "b"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, block, 0, role, id, n, sig) to the pairs that no step drops."""
+    least = least_matches()
+    for batch, runs in _groups(batches):
+        ids, sizes, sig, a, b = batch.column(4).to_numpy(), batch.column(5).to_numpy(), _signatures(batch.column(6)), [], []
+        for x, y, _, partners in runs:
+            if not partners:
+                head = ids[x], sizes[x], sig[x]
+                continue
+            at = survivors(least, head[2], sig, head[1], sizes, np.arange(x, y))
+            a += [head[0]] * len(at)
+            b += ids[at].tolist()
+        yield _pairs(a, b)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, block, 0, role, id, text) to the pairs that are links, by their full sets."""
+    for batch, runs in _groups(batches):
+        ids, a, b = batch.column(4).to_numpy(), [], []
+        sets = _each_set(as_strings(batch.column(5)))
+        for x, y, _, partners in runs:
+            for i in range(x, y):
+                other = next(sets)
+                if not partners:
+                    head, own = ids[i], other
+                    continue
+                inter = len(np.intersect1d(own, other, assume_unique=True))
+                if inter * 100 >= (len(own) + len(other) - inter) * PERCENT:
+                    a.append(head)
+                    b.append(ids[i])
+        yield _pairs(a, b)
+
+
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures leave a chance of the threshold."""
+    met = grouped(pairs).join(classes.select("id", "n", "sig"), "id").select("a", "block", F.lit(0).alias("third"), "role", "id", "n", "sig")
+    return met.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id").mapInArrow(_likely, "a long, b long")
+
+
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of classes that are links, by the full sets of their texts (doc_id, text_hash, text)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    want = scratch.put(classes.join(ids, "id", "left_semi").select("id", F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("text_hash").alias("__hash")))
+    named = texts.select(F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("text_hash").alias("__hash"), "text")
+    few = F.broadcast(want) if want.count() <= BROADCAST_IDS else want
+    # Rows that repeat id and text are alike; one of them stands for the class.
+    read = named.join(few, ["__doc", "__hash"]).groupBy("id").agg(F.first("text").alias("text"))
+    met = grouped(pairs).join(read, "id").select("a", "block", F.lit(0).alias("third"), "role", "id", "text")
+    out = scratch.put(met.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id").mapInArrow(_linked, "a long, b long"))
+    scratch.drop(want)
+    return out
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id reachable.
 
     Labels fall to the least among neighbours, then jump to their label's label, until nothing changes. Each round is
-    written to the shared folder; nothing but a count reaches the driver.
+    written to the shared folder; nothing but counts and a bounded list of crowded ids reaches the driver.
     """
-    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")))
+    both = scratch.put(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = scratch.put(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("c")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        new = labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("c").alias("cc"))
-        labels = durable(new.join(jump, "c").select("id", "old", F.least("c", "cc").alias("c")))
-        if labels.where("c <> old").isEmpty():
-            return labels.select("id", F.col("c").alias("component"))
-        labels = labels.select("id", "c")
-
+        near = join_unique(both, labels.select(F.col("id").alias("b"), "c"), ["b"]).groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
+        new = scratch.put(labels.join(near, "id").select("id", F.col("c").alias("old"), F.least("c", "m").alias("c")))
+        after = scratch.put(join_unique(new, labels.select(F.col("id").alias("c"), F.col("c").alias("cc")), ["c"]).select("id", "old", F.least("c", "cc").alias("c")))
+        scratch.drop(labels, new)
+        if after.where("c <> old").isEmpty():
+            scratch.drop(both)
+            return after.select("id", F.col("c").alias("component"))
+        labels = scratch.put(after.select("id", "c"))
+        scratch.drop(after)
 
-def _close(n: Column, m: Column) -> Column:
-    """Sizes that allow the threshold: the smaller at least PERCENT of the larger."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
-
-def within_buckets(placed: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links between strays and members of other components, from bucket members (key, band, id, n, c, hub_c).
+def strays(crowded: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
+    """The likely pairs of strays and members of other components, from bucket members (key, id, hub) and labels (id, component).
 
     A stray is a member outside the hub's component. Strays and members of a bucket are cut into blocks of about
-    BLOCK_ROWS; a block of strays meets a block of members in one task, which compares signatures and sets there, so that
-    only links leave it. A pair that shares several buckets is compared in the first.
+    BLOCK_ROWS; a block of strays meets a block of members in one task, which compares their signatures there, so that
+    only likely pairs leave it. A pair that shares several buckets is compared in the first.
     """
+    placed = crowded.where("id <> hub").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    at_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
+    placed = placed.join(at_hub, "hub", "left").withColumn("hub_c", F.coalesce("hub_c", "hub"))
     stray = (F.col("c") != F.col("hub_c")).cast("int")
     sizes = placed.groupBy("key").agg(F.sum(stray).alias("s"), F.count(F.lit(1)).alias("m")).where("s > 0 and m > 1")
-    cut = durable(placed.join(sizes, "key").select("key", "band", "id", "n", "c", "hub_c", F.ceil(F.col("s") / BLOCK_ROWS).cast("int").alias("s"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("m")))
+    cut = placed.join(sizes, "key").select("key", "id", "c", "hub_c", F.ceil(F.col("s") / BLOCK_ROWS).cast("int").alias("s"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("m"))
     own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     rows = cut.where("c <> hub_c").withColumn("sb", own("s")).withColumn("mb", every("m")).withColumn("role", F.lit(0))
     rows = rows.unionByName(cut.withColumn("mb", own("m")).withColumn("sb", every("s")).withColumn("role", F.lit(1)))
-    ids = durable(cut.select("id").distinct())
-    sets = only_ids(texts, ids).mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
-    load = durable(only_ids(sigs.select("id", "sig"), ids).join(sets, "id"))
-    met = rows.select("key", "sb", "mb", "role", "band", "id", "n", "c", "hub_c").join(load, "id").select("key", "sb", "mb", "role", "band", "id", "n", "c", "hub_c", "sig", "set")
-    return met.repartition("key", "sb", "mb").sortWithinPartitions("key", "sb", "mb", "role").mapInArrow(_meet, "a long, b long").distinct()
+    met = rows.join(classes.select("id", "n", "sig"), "id").select("key", "sb", "mb", "role", "id", "n", "sig", "c", "hub_c")
+    return met.repartition("key", "sb", "mb").sortWithinPartitions("key", "sb", "mb", "role").mapInArrow(_meet, "a long, b long")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least, now, strays = least_matches(), None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        group = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
-        edges = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-        ids, n, c, hub_c, band = (batch.column(i).to_numpy() for i in (5, 6, 7, 8, 4))
-        sig = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint32).reshape(-1, HASHES)
-        flat, ends = batch.column(10).flatten().to_numpy(), batch.column(10).offsets.to_numpy()
-        ends = ends - ends[0]
-        links: list[tuple[int, int]] = []
-        for a, b in zip([0, *edges], [*edges, len(ids)], strict=True):
-            if tuple(group[a, :3]) != now:
-                now, strays = tuple(group[a, :3]), []
-            if group[a, 3] == 0:
-                strays += [(ids[i], n[i], c[i], sig[i], flat[ends[i] : ends[i + 1]]) for i in range(a, b)]
+    least = least_matches()
+    for batch, runs in _groups(batches):
+        ids, sizes, sig, c, hub_c = batch.column(4).to_numpy(), batch.column(5).to_numpy(), _signatures(batch.column(6)), batch.column(7).to_numpy(), batch.column(8).to_numpy()
+        key, a, b = batch.column(0).to_numpy().view(np.uint64), [], []
+        for x, y, new, members in runs:
+            if new:
+                held = []
+            if not members:
+                held += [(ids[i], sizes[i], c[i], sig[i]) for i in range(x, y)]
                 continue
-            for x, size, comp, mine, own in strays:
-                ok = (c[a:b] != comp) & ((c[a:b] == hub_c[a:b]) | (ids[a:b] > x)) & (np.minimum(n[a:b], size) * 100 >= np.maximum(n[a:b], size) * PERCENT)
-                at = np.flatnonzero(ok) + a
-                matches = np.zeros(len(at), np.int64)
-                for step, need in enumerate(least):
-                    part = slice(step * BATCH, (step + 1) * BATCH)
-                    matches = matches + (sig[at, part] == mine[part]).sum(1)
-                    at, matches = at[matches >= need], matches[matches >= need]
+            for who, n, comp, mine in held:
+                ok = (c[x:y] != comp) & ((c[x:y] == hub_c[x:y]) | (ids[x:y] > who))
+                at = survivors(least, mine, sig, n, sizes, np.flatnonzero(ok) + x)
                 if len(at):
-                    shared = (sig[at] == mine).reshape(-1, BANDS, ROWS).all(2)
-                    at = at[shared.argmax(1) == band[a]]
-                for i in at:
-                    other = flat[ends[i] : ends[i + 1]]
-                    k = np.searchsorted(own, other)
-                    inter = int((own[np.minimum(k, len(own) - 1)] == other).sum())
-                    if inter * 100 >= (len(own) + len(other) - inter) * PERCENT:
-                        links.append((min(x, ids[i]), max(x, ids[i])))
-        yield pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+                    here = np.flatnonzero(_keys(mine[None])[0] == key[x])[0]
+                    shared = (_keys(sig[at]) == _keys(mine[None])).argmax(1)
+                    at = at[shared == here]
+                a += [min(who, i) for i in ids[at]]
+                b += [max(who, i) for i in ids[at]]
+        yield _pairs(a, b)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and group_id of every row, and the columns of `keep`.
 
     Documents are linked if their shingle sets agree by PERCENT of their union; component_id is the smallest id reachable,
-    and the row with that id is kept. Null, empty and blank texts have no shingles and no links. Rows that repeat an id
-    are one document, standing for the set of smallest hash among them; each gets its own n_shingles. A row without id is
-    linked with nothing, kept, and has no component. An empty table gives an empty result; other columns are ignored.
+    and the row with that id is kept. group_id numbers the components and is null for texts without shingles. Null, empty
+    and blank texts have no shingles and no links: they are their own component. Rows that repeat an id are documents of
+    their own, linked by their texts alone; a row without id is linked like any other, and where a component has no id at
+    all, component_id is null and its rows are kept. An empty table gives an empty result; other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = durable(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
-    known = sketch.where("doc_id is not null and n_shingles > 0")
-    own = known.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
-    classes = own.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    member = durable(own.join(classes, ["h1", "h2"]).select("id", "rep", "h1", "h2"))
-    reps = member.where("id = rep").select(F.col("id").alias("doc_id"), "h1", "h2")
-    sigs = durable(known.join(reps, ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["id"]))
-    bands = sigs.mapInArrow(_bands, "key long, band int, id long, n long")
-    hubs = bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
-    crowded = durable(bands.join(hubs, "key"))
-    first = crowded.where(F.col("id") != F.col("hub")).where(_close(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    found = durable(verify(first, sigs, texts))
-    label = components(found)
-    # Every crowded bucket's members with their components; those outside the hub's component meet the other components.
-    placed = crowded.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    at_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
-    placed = durable(placed.join(at_hub, "hub", "left").withColumn("hub_c", F.coalesce("hub_c", "hub")).where(F.col("id") != F.col("hub")))
-    more = durable(within_buckets(placed, sigs, texts))
-    if not more.isEmpty():
-        label = components(found.union(more))
-    whole = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    kept = texts.columns[3:]
+    sketch = scratch.put(texts.mapInArrow(_sketch(kept), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[3:])))
+    first = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash")
+    classes = sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(first).alias("r"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.put(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.col("r.doc_id").alias("doc_id"), F.col("r.text_hash").alias("text_hash"), "n", "sig"))
+    rows = scratch.put(sketch.drop("sig", "text_hash"))
+    scratch.drop(sketch)
+    bands = classes.select("id", "sig").mapInArrow(_bands, "key long, id long")
+    hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    crowded = scratch.put(bands.join(hubs, "key"))
+    pairs = scratch.put(crowded.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    close = scratch.put(likely(pairs, classes))
+    scratch.drop(pairs)
+    found = verify(close, classes, texts, scratch)
+    scratch.drop(close)
+    label = components(found, scratch)
+    scratch.drop(found)
+    close = scratch.put(strays(crowded, label, classes))
+    scratch.drop(crowded)
+    named = label
+    if not close.isEmpty():
+        more = verify(close, classes, texts, scratch)
+        # Links among components: few, so labels are found for components and not again for all ids.
+        ends = more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+        joined = components(scratch.put(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), scratch)
+        both = scratch.put(label.unionByName(joined.select("id", F.col("id").alias("component"))).groupBy("id").agg(F.min("component").alias("component")))
+        lifted = join_unique(both, joined.select(F.col("id").alias("component"), F.col("component").alias("top")), ["component"])
+        named = scratch.put(lifted.select("id", F.coalesce("top", "component").alias("component")))
+    # The smallest doc_id of every component, then every class's component.
+    ids = scratch.put(named.join(classes.select("id", "doc_id"), "id"))
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = join_unique(ids, least, ["component"]).select("id", "component", "component_id")
+    whole = classes.select("id", "h1", "h2", F.col("doc_id").alias("own")).join(ids, "id", "left")
+    whole = scratch.put(whole.select("h1", "h2", F.coalesce("component", "id").alias("group_id"), F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id")))
+    scratch.drop_all_but(rows, whole)
+    out = join_unique(rows, whole, ["h1", "h2"])
+    component = F.when(F.col("group_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "group_id", *[F.col(f"__keep_{c}").alias(c) for c in keep])

@@ -3,6 +3,7 @@ import re
 import pytest
 
 from lodestone.llm import near_dedup as nd
+from lodestone.llm.common import Scratch
 
 
 def brute(rows):
@@ -59,10 +60,27 @@ def test_crowded_group_of_near_copies(docs, prose):
     assert got == brute(rows)
 
 
-def test_kept_is_one_row_of_each_component_and_rows_without_id_are_kept(docs, prose):
-    text = prose(40, 2)
-    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in nd.dedup(docs([(4, text), (2, text), (2, text), (None, text), (None, None)])).collect()), key=str)
-    assert got == sorted([(4, 2, False), (2, 2, True), (2, 2, True), (None, None, True), (None, None, True)], key=str)
+def test_rows_of_one_id_and_rows_without_id_are_linked_by_their_own_texts(docs, prose):
+    text, other = prose(40, 2), prose(40, 3)
+    rows = [(4, text), (2, text), (2, text), (None, text), (None, None), (9, other), (9, text + " end"), (None, prose(40, 4)), (None, prose(40, 4)), (3, other), (3, "")]
+    got = [(r["doc_id"], r["component_id"], r["kept"], r["group_id"]) for r in nd.dedup(docs(rows)).collect()]
+    want = [(4, 2, False), (2, 2, True), (2, 2, True), (None, 2, False), (None, None, True), (9, 3, False), (9, 2, False), (None, None, True), (None, None, True), (3, 3, True), (3, 3, True)]
+    assert sorted((r[:3] for r in got), key=str) == sorted(want, key=str)
+    groups = [r[3] for r in got if r[3] is not None]
+    assert len(groups) == 9 and sorted(groups.count(x) for x in set(groups)) == [2, 2, 5]
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_the_stage_keeps_one_row_of_each_group(spark, tmp_path, docs, prose, limit, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(nd, "BROADCAST_IDS", limit)
+    monkeypatch.setattr(nd.only_ids, "__defaults__", ("left_semi", limit))
+    text, other = prose(40, 2), prose(40, 3)
+    rows = [(5, text), (5, text), (5, other), (None, text), (None, other), (None, prose(50, 6)), (None, prose(50, 6)), (7, None), (None, "")]
+    docs(rows).write.parquet(str(tmp_path / "t"))
+    got = corpus_pipeline.near_dedup_stage(spark, spark.read.parquet(str(tmp_path / "t")), "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([rows[i] for i in (0, 2, 5, 7, 8)], key=str)
 
 
 def test_empty_table(docs):
@@ -90,5 +108,5 @@ def test_a_pair_at_the_threshold_is_rarely_pruned():
 
 @pytest.mark.parametrize("links", [[(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (9, 6), (20, 30)], []])
 def test_components_of_a_chain(spark, links):
-    got = {r["id"]: r["component"] for r in nd.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["id"]: r["component"] for r in nd.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
     assert got == ({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 9: 1, 20: 20, 30: 20} if links else {})
