@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -17,7 +18,8 @@ def brute(rows, k=20, every=20):
     out = set()
     for q, a in ok:
         if q % every == 0:
-            scored = sorted(((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok if i != q))
+            held = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+            scored = sorted(((-held(sum(x * y for x, y in zip(a, b, strict=False))), i) for i, b in ok if i != q))
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
     return out
 
@@ -28,17 +30,55 @@ def single(x):
     return struct.unpack("f", struct.pack("f", x))[0]
 
 
-@pytest.mark.parametrize("blocks", [7, 2048])
-def test_top_k_equals_brute_force(spark, blocks):
+@pytest.mark.parametrize("annulus, shard", [(7, 40), (1024, None)])
+def test_top_k_equals_brute_force(spark, annulus, shard):
     r = random.Random(5)
     rows = [(i, [single(r.gauss(0, 1) * (1 + (i % 3))) for _ in range(6)]) for i in range(300)]
     rows += [(1000 + i, rows[40][1]) for i in range(60)]  # one vector many times: ties
     rows += [(400, None), (401, [1.0, None, 1.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (440, [0.0] * 6), (None, rows[0][1]), (404, rows[0][1][:3])]
     df = spark.createDataFrame([(i, v, "a", "b") for i, v in rows], VECTORS)
-    got = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ps.search(df, block_rows=blocks, pivots=8).collect()}
+    got = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ps.search(df, annulus_rows=annulus, shard_rows=shard, pivots=8).collect()}
     assert got == brute(rows)
 
 
+def test_large_components_and_repeated_ids(spark):
+    r = random.Random(6)
+    rows = [(i, [single(r.gauss(0, 1) * 10.0 ** r.choice([0, 8, 37])) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame([(i, v, "a", "b") for i, v in rows], VECTORS)
+    got = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ps.search(df, annulus_rows=8, shard_rows=16, pivots=4).collect()}
+    assert got == brute(rows)
+    twice = [(20, [2.0, 1.0]), (20, [1.0, 5.0]), (7, [1.0, 1.0]), (7, [3.0, 0.0]), (20, [1.0, 5.0])]
+    got = [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ps.search(spark.createDataFrame([(i, v, "", "") for i, v in twice], VECTORS)).collect()]
+    assert sorted(got) == [(20, 1, 7, 64 * 64 * 6), (20, 2, 7, 64 * 64 * 3)]
+
+
+def test_walks_stop_early_on_clustered_vectors():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(16, 8))
+    x = np.concatenate([c / np.linalg.norm(c) + 0.01 * r.normal(size=(500, 8)) for c in centres])
+    x = np.floor(6400 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    ids = np.arange(len(x))
+    top = float((x * x).sum(1).max())
+    longer = np.concatenate([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]], 1)
+    space = ps.Space(np.stack([longer[k * 500 : (k + 1) * 500].mean(0) for k in range(16)]), top, 8)
+    d = space.distances(x)
+    p = d.argmin(1)
+    order = np.lexsort((ids, d.min(1), p))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids[order]), pa.array(list(x[order])), pa.array(p[order].astype(np.int32)), pa.array(d.min(1)[order])], ["vec_id", "x", "pivot", "dist"])
+    shards = [ps.Shard.of(row) for b in ps._pack(8, 100, 10**6)(iter([batch])) for row in b.to_pylist()]
+    made = 0
+    for q in range(0, len(x), 400):
+        best = ps.Best(1, 20)
+        made += sum(ps.walk(space, s, ids[q : q + 1], x[q : q + 1], best) for s in shards)
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert best.ids.tolist() == np.lexsort((ids, -score))[:20].tolist()
+    assert made < 0.3 * len(x) * 20
+
+
 def test_fewer_candidates_than_k_and_an_empty_table(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0], "", ""), (1, [0.5, 0.5], "", "")], VECTORS)
     assert [(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in ps.search(few).collect()] == [(0, 1, 1, 64 * 32 + 128 * 32)]
@@ -87,19 +127,82 @@ KEPT = [
 
 def test_names_cut_nothing_but_asides():
     for html, want in KEPT:
-        assert ht.main_text(html, frozenset()) == want, html
+        assert ht.main_text(html, None) == want, html
     part = '<article><p>text</p><div class="notice">Section 3</div></article>'
-    opened = {w: t for t, (_, w) in ht.page_tokens(part).items()}
-    assert ht.main_text(part, {opened["open div.notice"]}) == "text"
-    assert ht.main_text(part, {opened["open article"]}) == "text\nSection 3"
+    events = ht.read(part)
+    role = {name: r for (kind, name, _), r in zip(events, ht.roles(events), strict=True) if kind == "open"}
+    assert ht.main_text(part, ht.Template(asides=frozenset({role["div.notice"]}))) == "text"
+    assert ht.main_text(part, ht.Template(asides=frozenset({role["article"]}))) == "text\nSection 3"
+
+
+def bare(page):
+    """The page without semantic tags, classes and ids."""
+    return re.sub(' (class|id|role)=("[^"]*"|[^ >]*)', "", re.sub("<(/?)(article|header|nav|footer|main|section|aside)", r"<\1div", page))
+
+
+def brute_templates(pages):
+    """(mains, title, cuts, asides) of every host by explicit occurrence vectors, '' being all hosts."""
+    per = {}
+    for host, page in pages:
+        events = ht.read(page)
+        tokens = ht.page_tokens(events, ht.roles(events))
+        per.setdefault(host, []).append(tokens)
+        per.setdefault("", []).append(tokens)
+    out = {}
+    for host, found in per.items():
+        vector, seen = {}, {}
+        for i, tokens in enumerate(found):
+            for t, x in tokens.items():
+                vector.setdefault(t, []).append((i, x.count))
+                seen[t] = x
+        classes = {}
+        for t, v in vector.items():
+            classes.setdefault(tuple(v), []).append(t)
+        valid = [t for v, c in classes.items() if len(v) >= ht.MIN_PAGES and sum(1 if seen[t].kind == ht.TEXT else 2 for t in c) >= ht.MIN_TOKENS for t in c if seen[t].kind != ht.TEXT]
+        total = lambda t, what: sum(getattr(x[t], what) for x in found if t in x)  # noqa: B023, E731
+        filled = lambda t: sum(any(y.share for y in x.values()) for x in found if t in x)  # noqa: B023, E731
+        heavy = {t for t in valid if seen[t].kind in (ht.CONTAINER, ht.ARTICLE) and 2 * total(t, "share") > ht.WHOLE * filled(t) and 100 * len(vector[t]) >= len(found)}
+        titles = [(len(vector[t]), t) for t in valid if seen[t].kind == ht.TITLE and 2 * len(vector[t]) > len(found)]
+        cuts = {t for t in valid if total(t, "chars") and total(t, "links") * 100 >= total(t, "chars") * ht.LINKED_PERCENT and 2 * len(vector[t]) > len(found)}
+        if valid:
+            out[host] = (heavy, max(titles)[1] if titles else None, cuts, {t for t in valid if seen[t].marked and 100 * len(vector[t]) >= len(found)})
+    return out
 
 
-def test_templates_are_the_tokens_of_equal_vectors(spark):
-    rows = [("h", i, page(f"title{i}", "<p>x</p>" * (i % 3 + 1))) for i in range(6)] + [("rare", 9, "<html><b>x</b></html>")]
-    got = {r["host"]: set(r["tokens"]) for r in ht.templates(spark.createDataFrame(rows, "host string, page long, html string")).collect()}
-    words = {w: t for t, (_, w) in ht.page_tokens(rows[0][2]).items()}
-    assert {words["open article"], words["close h1"], words["=Menu"], words["=&copy;"], words["=cookies"]} <= got["h"]
-    assert words["=title0"] not in got["h"] and "rare" not in got
+def test_templates_equal_those_of_explicit_vectors(spark):
+    from lodestone.llm.common import Scratch
+
+    rows = [(f"h{i % 3}", i, page(f"title {i}", f"<p>{i} one two three</p>" * (i % 3 + 2)) if i % 2 else bare(page(f"title {i}", f"<p>{i} four five</p>" * (i % 4 + 2)))) for i in range(24)]
+    rows += [("rare", 99, "<html><b>x</b></html>")]
+    df = spark.createDataFrame([(h, hash((i, x)), x) for h, i, x in rows], "host string, page long, html string")
+    got = {r["host"]: (set(r["mains"]), r["title"], set(r["cuts"]), set(r["asides"])) for r in ht.templates(df, Scratch(spark)).collect()}
+    assert got == brute_templates([(h, x) for h, _, x in rows])
+
+
+def test_the_template_finds_the_article_of_pages_without_semantic_tags_or_names(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice("ab bc cd de ef fg gh".split()) for _ in range(n)) + "."
+    rows, want = [], {}
+    for i in range(40):
+        title, parts = f"Title {i}", [prose(20 + r.randrange(60)) for _ in range(1 + i % 4)]
+        menu = "".join(f"<li><a href=/{k}>{prose(2)}</a></li>" for k in range(6))
+        side = f"<div><ul>{menu}</ul></div>" * (i % 3)
+        rows.append((i, f"http://h{i % 2}/{i}", bare(f"<html><head><title>{title}</title></head><body><nav><ul>{menu}</ul></nav><div class=ad>{prose(5 if i % 4 else 60)}</div>{side}<article><h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in parts)}</article><footer>(c) <i>h</i> {prose(6)}</footer></body></html>")))
+        want[i] = "\n".join([title, *parts])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in ht.extract(df).collect()}
+    assert got == want
+    # Without the template some of these pages are read otherwise: it decides.
+    assert any(ht.main_text(html, None) != want[i] for i, _, html in rows)
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for hostile in ("<div>" * 20000 + "x", '<a href="x>' * 20000, "<p><b>" * 10000, "<a " * 50000, "</div>" * 50000, "<i class='x" * 20000, "<div>x" * 20000, "<aside>" + "<article>" * 20000):
+        ht.main_text(hostile, None)
+    assert time.perf_counter() - began < 20
 
 
 def test_host_of(spark):
