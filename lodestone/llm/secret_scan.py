@@ -2,8 +2,8 @@
 
 Candidates are found per text, hashed, and counted over the corpus by the distinct repositories and owners that hold them.
 A value that many owners share is a widely copied example; one that stays with few owners looks live. Base kinds (assign,
-access, hex) are always reported; the method adds `opaque` spans: high-entropy tokens outside the base spans, reported only
-where the counts say that they are live-looking.
+access, hex) are always reported, each judged live or example; the method adds `opaque` spans: high-entropy tokens outside
+the base spans, reported only where the counts say that they are live-looking.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable
+from lodestone.llm.common import Scratch, join_unique
 from lodestone.llm.textbatch import as_strings
 
 BASE = ("assign", "access", "hex")
@@ -110,19 +110,26 @@ def ownership(cands: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """Finds secrets in every whole text and tells owner-specific ones from widely copied ones.
 
-    A repository is a document, an owner its source. Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, and
-    found: array of struct(start, kind, end, live). A null text is empty; a null source is one owner; repeated rows are
-    scanned each, but count once as repository if their ids agree; a null id counts as one repository. An empty table
-    gives an empty result; other columns are ignored. Only spans leave the scan, texts are never shuffled.
+    A repository is a document, an owner its source. Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live
+    and n_example (how many spans hold a live-looking value, and how many a copied one), live_spans (the former, spelt
+    like spans) and found: array of struct(start, kind, end, live). A null text is empty; a null source is one owner;
+    repeated rows are scanned each, but count once as repository if their ids agree; a null id counts as one repository.
+    An empty table gives an empty result; other columns are ignored. Only spans leave the scan, texts are never shuffled;
+    spans of a value that millions of documents hold are judged where they are.
     """
+    scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).cast("string").alias("text"))
     found = own.mapInArrow(_scan, "doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, cands array<struct<start:long,kind:int,end:long,value:long>>")
-    found = durable(found.withColumn("rid", F.monotonically_increasing_id()))
+    found = scratch.put(found.withColumn("rid", F.monotonically_increasing_id()))
     cands = found.where(F.size("cands") > 0).select("rid", "doc_id", "owner", F.explode("cands").alias("c")).select("rid", F.col("doc_id").alias("repo"), "owner", "c.*")
     copied = ownership(cands).where((F.col("owners") >= example_owners) & (F.col("repos") >= example_owners)).select("value", F.lit(False).alias("live"))
-    judged = cands.join(copied, "value", "left").withColumn("live", F.coalesce("live", F.lit(True))).where("kind < 3 or live")
+    judged = join_unique(cands, copied, ["value"]).withColumn("live", F.coalesce("live", F.lit(True))).where("kind < 3 or live")
     per_doc = judged.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("found"))
+    out = found.drop("cands").join(per_doc, "rid", "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<start:long,kind:int,end:long,live:boolean>>)")))
+    live = F.filter("found", lambda x: x["live"])
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _spelt(F.col("found")).alias("spans"), F.size(live).cast("long").alias("n_live"), (F.size("found") - F.size(live)).cast("long").alias("n_example"), _spelt(live).alias("live_spans"), "found")
+
+
+def _spelt(found: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
-    per_doc = per_doc.withColumn("spans", F.array_join(F.transform("found", lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ","))
-    out = found.drop("cands").join(per_doc, "rid", "left")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("found", F.expr("cast(array() as array<struct<start:long,kind:int,end:long,live:boolean>>)")).alias("found"))
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
