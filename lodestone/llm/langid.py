@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import hash_unit
@@ -24,8 +24,11 @@ from lodestone.llm.textbatch import as_strings, slices
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 DIM = 16
-#: The bound of the training sample: about this many rows of each language, drawn by hash.
+#: The bounds of the training sample: this many different rows of each language at most, drawn by hash, none of more bytes
+#: than this, and the languages of most rows.
 SAMPLE_PER_LANG = 400
+SAMPLE_BYTES = 1 << 16
+LANGUAGES = 200
 EPOCHS = 6
 #: A small sample gets more epochs, up to this many steps.
 STEPS = 600
@@ -265,16 +268,26 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """Trains on a sample of about per_lang rows of each language, drawn by a hash of the id; None without labelled rows."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).count().collect()}  # one row per language
-    if not counts:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, most_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> Model | None:
+    """Trains on per_lang rows of each language at most, those of the smallest hash of id and text; None without labelled rows.
+
+    Rows that are alike in id, text and language are one. Texts of more than most_bytes aren't drawn, and of more than
+    `languages` languages only those of most different rows are learned; so the sample is bounded in rows and bytes, whatever the table.
+    """
+    size = F.octet_length(F.col(text_col))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (size <= most_bytes) & ~held_out(F.col(id_col)))
+    different = F.approx_count_distinct(F.xxhash64(F.col(id_col), F.col(text_col)))
+    counts = rows.groupBy(F.col(lang_col).alias("__lang")).agg(different.alias("__count")).orderBy(F.desc("__count"), "__lang").limit(languages)
+    shares = [(r["__lang"], min(1.0, 2 * per_lang / r["__count"])) for r in counts.collect()]
+    if not shares:
         return None
-    shares = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in counts.items()], "__lang string, __share double"))
-    unit = hash_unit(F.lit("langid"), F.col(id_col))
-    sample = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), unit.alias("u"), F.xxhash64(text_col).alias("h")).join(shares, F.col("l") == F.col("__lang")).where("u < __share")
-    got = sorted(sample.select("u", "h", "l", "t").collect(), key=lambda r: (r["u"], r["h"], r["l"]))
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "__lang string, __share double"))
+    unit = hash_unit(F.lit("langid"), F.col(id_col), F.md5(F.col(text_col).cast("binary")))
+    # Twice as many as are due are let through, then cut: rows that are drawn by chance are rarely fewer than per_lang.
+    drawn = rows.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), unit.alias("u")).join(shares, F.col("l") == F.col("__lang")).where("u < __share")
+    once = drawn.groupBy("l", "u").agg(F.first("t").alias("t"))
+    sample = once.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("u"))).where(F.col("n") <= per_lang)
+    got = sorted(sample.select("u", "l", "t").collect(), key=lambda r: (r["u"], r["l"]))
     return train([r["t"] for r in got], [r["l"] for r in got]) if got else None
 
 

@@ -39,6 +39,27 @@ def test_a_value_of_many_owners_is_an_example(docs):
     assert all(x["live"] for x in got[9]["found"])
 
 
+def test_ownership_counts_equal_brute_force_for_base_spans_too(docs):
+    import random
+
+    r = random.Random(2)
+    values = [f"v{k}" + "abc123XYZ" * 2 for k in range(12)]
+    rows = [(r.choice([None, *range(40)]), " ".join(f"token={r.choice(values)}" for _ in range(r.randrange(4))) + f" password=hot{'Q9' * 6}", r.choice(["a", "b", "c", "d", None])) for _ in range(300)]
+    holders = {}
+    for i, text, owner in rows:
+        for m in re.finditer("(?:token|password)=([A-Za-z0-9]+)", text):
+            holders.setdefault(m[1], [set(), set()])
+            holders[m[1]][0].add(i)
+            holders[m[1]][1].add(owner)
+    live = {v for v, (repos, owners) in holders.items() if len(repos) < 3 or len(owners) < 3}
+    want = []
+    for i, text, _ in rows:
+        spans = [(f"assign:{m.start()}:{m.end()}", m[1] in live) for m in re.finditer("(?:token|password)=([A-Za-z0-9]+)", text)]
+        want.append((i, sum(x for _, x in spans), sum(not x for _, x in spans), ",".join(s for s, x in spans if x)))
+    got = [(x["doc_id"], x["n_live"], x["n_example"], x["live_spans"]) for x in secret_scan.scan(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_secrets_of_an_empty_table(docs):
     assert secret_scan.scan(docs([])).count() == 0
 
@@ -135,6 +156,18 @@ def test_texts_in_no_learned_language_are_rejected_and_clean_ones_stay(spark):
     assert share["noise"] > 0.95 and share["foreign"] == 1 and share["whole"] <= 0.01 and share["short"] <= 0.02, share
 
 
+def test_the_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    got = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: got.update(n=len(texts), size=max(map(len, texts)), langs=set(labels)) or None)
+    same_id = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("the text "), (F.col("id") % 5000).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    more = spark.range(2000).select("id", F.repeat(F.lit("mot "), F.when(F.col("id") % 2 == 0, 40_000).otherwise(9)).alias("text"), F.lit("fr").alias("lang"))
+    rare = spark.range(30).select("id", F.lit("x y"), F.concat(F.lit("l"), F.col("id").cast("string")))
+    langid.fit(same_id.union(more).union(rare), per_lang=100, languages=2)
+    assert got["langs"] == {"en", "fr"} and got["n"] <= 200 and got["n"] > 150 and got["size"] < 100
+
+
 def test_one_learned_language_and_few_rows_reject_too():
     for n in (8, 60):
         model = langid.train(["the cat sat on the mat near the house"] * n, ["en"] * n)
