@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import Scratch
+
 #: Rows of one shard are numbered in this many chunks, so that no task holds a whole shard.
 CHUNKS = 512
 
@@ -32,12 +34,12 @@ def layout(shards: int, base: int = 24, racks: int = 2, per_rack: int = 4) -> li
     """The tree of a cluster commissioned with `base` shards: regions of `racks` racks of `per_rack` shards.
 
     Every shard beyond the base is a region of its own. Growing from n >= base to n + 1 changes no weight below an old
-    region, so rows move only into the new shard. Below the base size the tree is simply a smaller base.
+    region, so rows move only into the new shard. Fewer shards than the base are another cluster, and refused.
     """
-    if shards < 1:
-        raise ValueError("at least one shard is needed")
+    if not 0 < base <= shards:
+        raise ValueError(f"{shards} shards of a cluster commissioned with {base}")
     out = []
-    for s in range(min(shards, base)):
+    for s in range(base):
         region = s // (racks * per_rack)
         out.append(Leaf(f"r{region}", f"r{region}k{s // per_rack % racks}", s))
     out += [Leaf(f"r+{s}", f"r+{s}k0", s) for s in range(base, shards)]
@@ -92,24 +94,23 @@ def shard_of(key: Column, tree: Sequence[Leaf]) -> Column:
     return _descend(key, "shard", leaves, _descend(key, "rack", middle, _descend(key, "region", top, F.lit(0))))
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
-    """Puts every row into a shard of layout(shards) by the law `key`: id and shard count alone decide.
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", base: int = 24) -> DataFrame:
+    """Puts every row into a shard of layout(shards, base) by the law `key`: id and shard count alone decide.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot (0, 1, ... within the shard) and
-    grown_shard, the shard under one shard more. A null text has size 8 and the CRC of no bytes; a null id is a key of its own.
-    Repeated rows fall into one shard and get slots of their own. Other columns of docs are ignored, an empty table gives
-    an empty result. Slots follow (chunk, id, CRC, size), chunk being a hash of the id: rows are numbered within chunks
-    and chunks are offset by counts, so that no task sorts a whole shard.
+    grown_shard, the shard under one shard more, which is what shard() gives for that count and the same base. A null text has size 8 and the
+    CRC of no bytes; a null id is a key of its own. Repeated rows fall into one shard and get slots of their own. Other
+    columns of docs are ignored, an empty table gives an empty result. Slots follow (chunk, id, CRC, size), chunk being a
+    hash of id and CRC: rows are numbered within chunks and chunks are offset by counts, so that no task sorts a whole
+    shard, nor all rows of one id. Texts are read once, for their size and CRC.
     """
-    base = min(shards, 24) if base is None else base
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    key = F.col(id_col)
-    rows = docs.select(key.cast("long").alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    key, chunk = F.col("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     tree, grown = layout(shards, base), layout(shards + 1, base)
-    rows = rows.select("*", F.lit("key").alias("law"), shard_of(key, tree).alias("shard"), shard_of(key, grown).alias("grown_shard"), chunk.alias("__chunk"))
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).select(shard_of(key, tree).alias("shard"), chunk.alias("__chunk"))
-    counts = ids.groupBy("shard", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
+    chunk = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CHUNKS)).cast("int")
+    rows = rows.select("*", F.lit("key").alias("law"), shard_of(F.col("doc_id"), tree).alias("shard"), shard_of(F.col("doc_id"), grown).alias("grown_shard"), chunk.alias("__chunk"))
+    rows = Scratch(docs.sparkSession).put(rows)
+    counts = rows.groupBy("shard", "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     # shards * CHUNKS rows at most, whatever the input: a bound that holds for broadcast.
     before = counts.selectExpr("shard", "__chunk", "sum(__n) over (partition by shard order by __chunk rows between unbounded preceding and 1 preceding) as __before")
     local = rows.selectExpr("*", "row_number() over (partition by shard, __chunk order by doc_id, text_crc32, size) as __row")
