@@ -48,12 +48,12 @@ def select_min_nprobe(grid: DataFrame, target: float) -> DataFrame:
 
 
 def pick_working_points(grid: DataFrame) -> DataFrame:
-    """(role, ...): default is the fastest, then cheapest, with recall in [0.94, 0.96], or else the one nearest 0.95; high_recall
+    """(role, ...): default is the fastest, then cheapest, with recall in [0.94, 0.96], or else the one nearest 0.95, then likewise; high_recall
     is the best recall, then fastest, of those from 0.97 on, or else the one nearest 0.97."""
     near = lambda x: F.round(F.abs(F.col("recall") - x), 9)
     group = ("dataset", "method")
     band = F.when(F.col("recall").between(0.94, 0.96), 0).otherwise(1)
-    default = _first(grid.withColumn("__b", band), group, F.asc("__b"), F.when(F.col("__b") == 0, -F.col("qps")).otherwise(near(0.95)).asc(), F.asc("cost"), F.asc("config"), F.asc("knob")).drop("__b")
+    default = _first(grid.withColumn("__b", band), group, F.asc("__b"), F.when(F.col("__b") == 0, -F.col("qps")).otherwise(near(0.95)).asc(), F.desc("qps"), F.asc("cost"), F.asc("config"), F.asc("knob")).drop("__b")
     top = F.when(F.col("recall") >= 0.97, 0).otherwise(1)
     high = _first(grid.withColumn("__b", top), group, F.asc("__b"), F.when(F.col("__b") == 0, -F.col("recall")).otherwise(near(0.97)).asc(), F.desc("qps"), F.asc("config"), F.asc("knob")).drop("__b")
     return default.withColumn("role", F.lit("default")).unionByName(high.withColumn("role", F.lit("high_recall")))
