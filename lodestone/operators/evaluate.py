@@ -64,7 +64,7 @@ def average_ranks(rows: DataFrame, value: str, name: str, group: str = "qid") ->
 def spearman(rows: DataFrame, a: str, b: str, group: str = "qid") -> DataFrame:
     """(group, n, spearman): Pearson correlation of tie-averaged ranks; 0 for fewer than two rows or a constant side."""
     r = average_ranks(average_ranks(rows, a, "x", group), b, "y", group)
-    s = r.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(e)).alias(k) for k, e in (("sx", "x"), ("sy", "y"), ("sxx", "x * x"), ("syy", "y * y"), ("sxy", "x * y"))])
+    s = r.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(e).cast("decimal(19,0)")).cast("decimal(38,0)").alias(k) for k, e in (("sx", "x"), ("sy", "y"), ("sxx", "x * x"), ("syy", "y * y"), ("sxy", "x * y"))])
     vx, vy, cov = (F.expr(e).cast("double") for e in ("n * sxx - sx * sx", "n * syy - sy * sy", "n * sxy - sx * sy"))
     return s.select(group, "n", F.round(F.when((F.col("n") < 2) | (vx <= 0) | (vy <= 0), 0.0).otherwise(cov / F.sqrt(vx) / F.sqrt(vy)), 6).alias("spearman"))
 
