@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import parameters
 from lodestone.operators import cluster as cl
 from lodestone.operators import idf, sketch
-from lodestone.operators.storage import durable, fingerprint, load_manifest, load_tables, save_tables
-from lodestone.operators.vectors import GROUP_LIMIT, exact_topk, row_limit, top_k
+from lodestone.operators.storage import durable, fingerprint, load_manifest, load_tables, placed, save_tables
+from lodestone.operators.vectors import BROADCAST_ROWS, GROUP_LIMIT, exact_topk, row_limit, top_k
 
 PPM = 1_000_000
 
@@ -32,6 +32,12 @@ class Index:
 
     TABLES = ("weights", "centroids", "members", "params", "sizes", "signatures")
 
+    def settled(self) -> Index:
+        """The index with its large tables dealt by vec_id, so that counting, scoring and verifying a batch of queries move none of them."""
+        by = ("vectors", "sizes", "signatures")
+        meta = self.meta | {"centroid_rows": self.centroids.count()}
+        return replace(self, **{x: placed(getattr(self, x), "vec_id") for x in by}, params=durable(self.params), meta=meta)
+
     def save(self, path: str) -> None:
         save_tables({x: getattr(self, x) for x in self.TABLES}, path, self.meta | {"domain": self.domain, "data": fingerprint(self.vectors)})
 
@@ -62,34 +68,69 @@ def build(
     return Index(vectors, weights, clustering.centroids, members, params, sketch.sketch_sizes(slots), hashed, domain, meta)
 
 
-def route(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """A table of n rows at most, broadcast if that is within the bound."""
+    return F.broadcast(rows) if 0 <= n <= BROADCAST_ROWS else rows
+
+
+@dataclass
+class Batch:
+    """A batch of queries, dealt by qid, and bounds of what its steps can make."""
+
+    queries: DataFrame
+    n: int
+    coordinates: int
+    nprobe: int
+    most_m: int
+    most_t: int
+
+    @classmethod
+    def of(cls, index: Index, queries: DataFrame, nprobe: int) -> Batch:
+        own = durable(queries.select("qid", "dim", "val").repartition("qid"))
+        n, coordinates = own.agg(F.countDistinct("qid"), F.count(F.lit(1))).first()
+        most_m, most_t = index.params.agg(F.max("m_i"), F.max("t_budget")).first()
+        return cls(own, n, coordinates, nprobe, int(most_m or 0), int(most_t or 0))
+
+    def probes(self, rows: DataFrame) -> DataFrame:
+        return few(rows, self.n * self.nprobe * self.most_m)
+
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        return few(rows, self.n * self.nprobe * self.most_t)
+
+
+def route(queries: DataFrame, centroids: DataFrame, nprobe: int, centroid_rows: int = -1) -> DataFrame:
     """(qid, cluster_id, centroid_score, rank): the nprobe best clusters of every query, ties to the lower number.
 
-    The score is the product with the unit centroid over the query's largest value.
+    The score is the product with the unit centroid over the query's largest value. Queries that are dealt by qid stay
+    where they are if the centroids are few enough to be sent to them.
     """
-    both = queries.select("qid", "dim", "val").join(centroids, "dim").groupBy("qid", "cluster_id").agg(F.sum(F.col("val") * F.col("w")).alias("s"))
-    top = queries.groupBy("qid").agg(F.max("val").alias("top"))
-    best = top_k(both, nprobe, by="s", tie="cluster_id")
-    return best.join(top, "qid").select("qid", "cluster_id", F.round(F.col("s") / PPM / F.col("top"), 9).alias("centroid_score"), "rank")
+    top = F.max("val").over(Window.partitionBy("qid"))
+    both = queries.select("qid", "dim", "val", top.alias("top")).join(few(centroids, centroid_rows), "dim").groupBy("qid", "cluster_id").agg(F.sum(F.col("val") * F.col("w")).alias("s"), F.max("top").alias("top"))
+    return top_k(both, nprobe, by="s", tie="cluster_id").select("qid", "cluster_id", F.round(F.col("s") / PPM / F.col("top"), 9).alias("centroid_score"), "rank")
+
 
+def candidates(index: Index, queries: DataFrame, nprobe: int, batch: Batch | None = None) -> DataFrame:
+    """(qid, cluster_id, vec_id, cc, score, place): the budgeted candidates of every query in each of its clusters.
 
-def candidates(index: Index, queries: DataFrame, nprobe: int) -> DataFrame:
-    """(qid, cluster_id, vec_id, cc, score, place): the budgeted candidates of every query in each of its clusters."""
-    routed = route(queries, index.centroids, nprobe)
+    What the queries make (clusters, probes, sizes) is sent to the index where its bound is small, so that a settled
+    index is counted and scored in place and only rows within the budget are shuffled.
+    """
+    batch = batch or Batch.of(index, queries, nprobe)
+    routed = route(batch.queries, index.centroids, nprobe, index.meta.get("centroid_rows", -1))
     seed, l_base = index.meta["seed"], index.meta["l_base"]
-    slots = sketch.sketch(queries, index.weights, sketch.QUERY_SALT, "qid", index.meta["use_idf"], index.meta["dim_limit"])
-    probes = routed.select("qid", "cluster_id").join(index.params.select("cluster_id", "m_i"), "cluster_id")
-    counts = sketch.collisions(sketch.minhash(slots, probes, index.domain, seed, "qid"), index.signatures)
-    counts = sketch.with_overlap(counts.join(index.params.select("cluster_id", "m_i", "t_budget"), "cluster_id"), sketch.sketch_sizes(slots, "qid"), index.sizes)
+    slots = sketch.sketch(batch.queries, index.weights, sketch.QUERY_SALT, "qid", index.meta["use_idf"], index.meta["dim_limit"])
+    aims = routed.select("qid", "cluster_id", "centroid_score").join(F.broadcast(index.params.select("cluster_id", "m_i", "t_budget")), "cluster_id")  # a row per cluster
+    probes = sketch.minhash(slots, aims.select("qid", "cluster_id", "m_i"), index.domain, seed, "qid")
+    counts = sketch.collisions(batch.probes(probes), index.signatures)
+    counts = counts.join(few(aims, batch.n * nprobe), ["qid", "cluster_id"])
+    counts = sketch.with_overlap(counts, few(sketch.sketch_sizes(slots, "qid"), batch.n), index.sizes)
     # floor(x * 10^6 + 1/2) rounds alike in all engines, which decimal rounding of a binary fraction doesn't.
     fused = F.floor((F.lit(0.7) * F.col("overlap") / l_base + F.lit(0.3) * F.col("centroid_score") * (F.col("cc") / F.col("m_i"))) * PPM + 0.5) / PPM
-    scored = counts.join(routed.select("qid", "cluster_id", "centroid_score"), ["qid", "cluster_id"]).withColumn("score", fused)
-    return budgeted(scored, index.params)
+    return budgeted(counts.withColumn("score", fused), batch.most_t)
 
 
-def budgeted(scored: DataFrame, params: DataFrame) -> DataFrame:
+def budgeted(scored: DataFrame, most: int) -> DataFrame:
     """Keeps the t_budget best rows of each (query, cluster). The largest budget is a literal bound as well, so that rows are cut before the shuffle."""
-    most = int(params.agg(F.max("t_budget")).first()[0] or 0)
     place = F.row_number().over(Window.partitionBy("qid", "cluster_id").orderBy(F.desc("score"), "vec_id"))
     out = scored.withColumn("place", place)
     if most <= GROUP_LIMIT:
@@ -97,11 +138,16 @@ def budgeted(scored: DataFrame, params: DataFrame) -> DataFrame:
     return out.where(F.col("place") <= F.col("t_budget"))
 
 
+def products(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, vec_id, ip) of distinct pairs that share a dim; with pairs and queries broadcast, vectors dealt by id stay in place."""
+    both = vectors.select("vec_id", "dim", F.col("val").alias("dv")).join(pairs, "vec_id").join(queries, ["qid", "dim"])
+    return both.groupBy("qid", "vec_id").agg(F.sum(F.col("qv") * F.col("dv")).alias("ip"))
+
+
 def verified(candidate_ids: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Adds the exact product ip to candidates (qid, vec_id, ...); those that share no dim fall out."""
-    few = candidate_ids.select("qid", "vec_id").distinct()
-    both = few.join(vectors.select("vec_id", "dim", F.col("val").alias("dv")), "vec_id").join(queries.select("qid", "dim", F.col("val").alias("qv")), ["qid", "dim"])
-    return candidate_ids.join(both.groupBy("qid", "vec_id").agg(F.sum(F.col("qv") * F.col("dv")).alias("ip")), ["qid", "vec_id"])
+    found = products(candidate_ids.select("qid", "vec_id").distinct(), queries.select("qid", "dim", F.col("val").alias("qv")), vectors)
+    return candidate_ids.join(found, ["qid", "vec_id"])
 
 
 def clustered_search(index: Index, queries: DataFrame, k: int, nprobe: int, dedup: bool = True) -> DataFrame:
@@ -109,9 +155,14 @@ def clustered_search(index: Index, queries: DataFrame, k: int, nprobe: int, dedu
 
     A spilled point may be a candidate in several clusters; with dedup=False each verification is a result of its own.
     """
-    found = verified(candidates(index, queries, nprobe).select("qid", "cluster_id", "vec_id"), queries, index.vectors)
+    batch = Batch.of(index, queries, nprobe)
+    chosen = candidates(index, queries, nprobe, batch).select("qid", "cluster_id", "vec_id")
+    asked = few(batch.queries.select("qid", "dim", F.col("val").alias("qv")), batch.coordinates)
     if dedup:
-        return top_k(found.select("qid", "vec_id", "ip").distinct(), k).select("qid", "rank", "vec_id", "ip")
+        found = products(batch.pairs(chosen.select("qid", "vec_id").distinct()), asked, index.vectors)
+        return top_k(found, k).select("qid", "rank", "vec_id", "ip")
+    chosen = durable(chosen)
+    found = chosen.join(products(batch.pairs(chosen.select("qid", "vec_id").distinct()), asked, index.vectors), ["qid", "vec_id"])
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ip"), "vec_id", "cluster_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "ip")
 

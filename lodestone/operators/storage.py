@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir names it; a session of one process has one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="lodestone-"))
+        atexit.register(shutil.rmtree, _OWN[0], True)
+    return _OWN[0]
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared checkpoint folder (spark.checkpoint.dir; where unset, a temporary one) and cuts its lineage."""
+    """Computes df once into the shared folder and cuts its lineage."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def placed(df: DataFrame, *by: str) -> DataFrame:
+    """durable(), dealt by columns to as many partitions as a shuffle has: joins and sums by them need no shuffle any more."""
+    return durable(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by))
+
+
 def fingerprint(vectors: DataFrame) -> dict[str, int]:
     """What a cache must agree in with its data: rows, vectors, and an order-free hash of all coordinates."""
     row = vectors.agg(F.count(F.lit(1)), F.countDistinct("vec_id"), F.coalesce(F.sum(F.pmod(F.xxhash64("vec_id", "dim", "val"), F.lit(1 << 31))), F.lit(0))).first()

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.storage import durable
+
 PPM = 1_000_000
+#: Queries of so many coordinates in all are broadcast, and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 #: Spark limits rows per window group before the shuffle only up to this rank.
 GROUP_LIMIT = 1000
 
@@ -89,9 +93,22 @@ def top_k(scored: DataFrame, k: int, by: str = "ip", group: tuple[str, ...] = ("
     return scored.withColumn(rank, order).where(F.col(rank) <= k)
 
 
+def gathered_dot(queries: DataFrame, vectors: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """sparse_dot() that gathers vectors by id once and sends the queries to them.
+
+    All products of a vector are made and added up in one task, so that pairs are ranked there and never shuffled.
+    Queries of more than `bound` coordinates meet the vectors by dim instead.
+    """
+    few = durable(queries.select("qid", "dim", F.col("val").alias("qv")))
+    if few.count() > bound:
+        return sparse_dot(queries, vectors)
+    both = vectors.select("vec_id", "dim", F.col("val").alias("dv")).repartition("vec_id").join(F.broadcast(few), "dim")
+    return both.groupBy("qid", "vec_id").agg(F.sum(F.col("qv") * F.col("dv")).alias("ip"))
+
+
 def exact_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, vec_id, ip, rank): the exact best k vectors of every query among those that share a dim with it."""
-    return top_k(sparse_dot(queries, vectors), k)
+    return top_k(gathered_dot(queries, vectors), k)
 
 
 def padded_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

@@ -203,7 +203,7 @@ def first(rows: str, group: str, order: str, columns: str = "*") -> str:
 _ROW = "dataset, method, target, config, knob, recall, qps, cost"
 CTES["max_best"] = first("(SELECT * FROM wide WHERE recall >= target) y", "dataset, method, target", "qps DESC, config, knob", _ROW)
 CTES["max_qps"] = "SELECT e.dataset AS dataset, e.method AS method, e.target AS target, config, knob, recall, qps, cost, CASE WHEN qps IS NULL THEN 'N/A' ELSE 'ok' END AS status FROM (SELECT DISTINCT dataset, method, target FROM wide) e LEFT JOIN max_best b ON e.dataset = b.dataset AND e.method = b.method AND e.target = b.target"
-_DEFAULT = "CASE WHEN recall BETWEEN 0.94 AND 0.96 THEN 0 ELSE 1 END, CASE WHEN recall BETWEEN 0.94 AND 0.96 THEN -qps ELSE round(abs(recall - 0.95), 9) END, cost, config, knob"
+_DEFAULT = "CASE WHEN recall BETWEEN 0.94 AND 0.96 THEN 0 ELSE 1 END, CASE WHEN recall BETWEEN 0.94 AND 0.96 THEN -qps ELSE round(abs(recall - 0.95), 9) END, qps DESC, cost, config, knob"
 _HIGH = "CASE WHEN recall >= 0.97 THEN 0 ELSE 1 END, CASE WHEN recall >= 0.97 THEN -recall ELSE round(abs(recall - 0.97), 9) END, qps DESC, config, knob"
 _CURVE = "dataset, method, config, knob, recall, qps, cost"
 CTES["points"] = f"{first('curve', 'dataset, method', _DEFAULT, _CURVE + chr(44) + ' ' + repr('default') + ' AS role')} UNION ALL {first('curve', 'dataset, method', _HIGH, _CURVE + chr(44) + ' ' + repr('high_recall') + ' AS role')}"

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import dense, hashing, parameters
 from lodestone.operators import cluster, evaluate, idf, search, selection, sketch, space, vectors
-from lodestone.operators.storage import durable
+from lodestone.operators.storage import durable, shared_dir
 from lodestone.sources import csr, fixtures
 
 #: Parameters of the registered queries; their SQL is generated from the same values.
 K_DOCS, K_CUST, K_EMB = 50, 20, 10
-CUST_EVERY, EMB_EVERY = 50, 25
+CUST_EVERY, EMB_EVERY = 20, 20
 CLUSTERS, ROUNDS, TAU, NPROBE = 8, 2, 80, 3
 M0, ETA, L_BASE, IDF_RANGE, SEED = 24, 0.15, 20, (0.5, 3.0), 2026
 BASE_L, BASE_M, UB = 10, 32, 40
@@ -63,8 +63,7 @@ def emb_clustering(spark: SparkSession, sf_dir: str) -> cluster.Clustering:
 @once
 def emb_index(spark: SparkSession, sf_dir: str) -> search.Index:
     index = search.build(emb(spark, sf_dir), CLUSTERS, TAU, M0, ETA, K_EMB, L_BASE, IDF_RANGE, seed=SEED, clustering=emb_clustering(spark, sf_dir))
-    index.signatures, index.sizes, index.params = durable(index.signatures), durable(index.sizes), durable(index.params)
-    return index
+    return index.settled()
 
 
 @once
@@ -592,12 +591,13 @@ def bit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' vectors through a CSR file in a folder that all tasks mount, and back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    folder = os.path.join(base.removeprefix("file:").replace("//", "/"), "lodestone-csr")
+    folder = os.path.join(shared_dir(spark).removeprefix("file:").replace("//", "/"), "lodestone-csr")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, f"{spark.sparkContext.applicationId}-{os.path.basename(sf_dir.rstrip('/'))}.csr")
     csr.write_csr(fixtures.cust_vec(spark, sf_dir), path)
-    return csr.long_form(csr.read_csr(spark, path)).select("vec_id", "dim", F.col("val").cast("long").alias("val"))
+    out = durable(csr.long_form(csr.read_csr(spark, path)).select("vec_id", "dim", F.col("val").cast("long").alias("val")))
+    os.remove(path)
+    return out
 
 
 @query
