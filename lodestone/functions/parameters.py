@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,16 @@ def size_dependent_eta(n: int) -> float:
     return 0.03 if n >= 1_000_000 else 0.05 if n >= 100_000 else 0.15
 
 
+def smooth_m0_of(c: Column) -> Column:
+    """smooth_m0() of a column."""
+    return F.ceil(F.round(150 + 100 * F.greatest(F.lit(0.0), (c - 0.5) / 0.5), 9)).cast("int")
+
+
+def size_dependent_eta_of(n: Column) -> Column:
+    """size_dependent_eta() of a column."""
+    return F.when(n >= 1_000_000, F.lit(0.03)).when(n >= 100_000, F.lit(0.05)).otherwise(F.lit(0.15))
+
+
 def adaptive_params(sizes: DataFrame, n: int, k: int, m0: int, eta: float) -> DataFrame:
     """(cluster_id, n_i, m_i, t_budget): the number of hashes and the verification budget of every cluster.
 

@@ -107,7 +107,16 @@ def spot_audit(results: DataFrame, truth: DataFrame, counts: DataFrame, k: int,
     return out.select("qid", "truth_top", F.coalesce("result_top", F.lit("")).alias("result_top"), "recall", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
 
 
-def benchmark_averages(per_query: DataFrame) -> DataFrame:
-    """Means over queries of recall, ratio and cost (qid, recall, ratio, n_verified)."""
+def benchmark_averages(per_query: DataFrame, clusters: bool = False) -> DataFrame:
+    """Means over queries of recall, ratio and cost (qid, recall, ratio, n_verified), and of clusters asked for, found and giving candidates (n_requested, n_selected, n_active)."""
     mean = lambda c: F.round(F.sum(F.round(F.col(c) * 1e6).cast("long")) / F.count(F.lit(1)) / 1e6, 6)
-    return per_query.agg(F.count(F.lit(1)).alias("n_queries"), mean("recall").alias("recall"), mean("ratio").alias("ratio"), mean("n_verified").alias("avg_verified"))
+    more = [mean(f"n_{x}").alias(f"avg_{x}") for x in ("requested", "selected", "active")] if clusters else []
+    return per_query.agg(F.count(F.lit(1)).alias("n_queries"), mean("recall").alias("recall"), mean("ratio").alias("ratio"), mean("n_verified").alias("avg_verified"), *more)
+
+
+def baseline_averages(results: DataFrame, truth: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """(n_queries, recall, ratio, kth_ratio, avg_verified) of an un-clustered method: ratios by rank, over queries with results."""
+    mean = lambda c: F.round(F.sum(F.round(F.col(c) * 1e6).cast("long")) / F.count(c) / 1e6, 6)
+    per = recall_at_k(results, truth, k).join(rank_ratios(results, truth), "qid", "left").join(counts, "qid", "left")
+    per = per.withColumn("n_verified", F.coalesce("n_verified", F.lit(0)))
+    return per.agg(F.count(F.lit(1)).alias("n_queries"), mean("recall").alias("recall"), mean("mean_ratio").alias("ratio"), mean("kth_ratio").alias("kth_ratio"), mean("n_verified").alias("avg_verified"))

@@ -201,12 +201,16 @@ def _baseline_counts(index: Baseline, queries: DataFrame, tables: int | None = N
     return counts.drop("cluster_id").withColumn("m_i", F.lit(min(tables or index.m, index.m))), slots
 
 
-def baseline_search(index: Baseline, queries: DataFrame, k: int, ub: int, tables: int | None = None, by: str = "overlap") -> DataFrame:
-    """The k best of the k + ub candidates of largest estimated overlap (or, with by='cc', of most collisions)."""
+def baseline_candidates(index: Baseline, queries: DataFrame, k: int, ub: int, tables: int | None = None, by: str = "overlap") -> DataFrame:
+    """(qid, vec_id) of the k + ub points of largest estimated overlap (or, with by='cc', of most collisions)."""
     counts, slots = _baseline_counts(index, queries, tables)
     scored = counts if by == "cc" else sketch.with_overlap(counts, sketch.sketch_sizes(slots, "qid"), sketch.sketch_sizes(index.slots))
-    few = top_k(scored, k + ub, by=by, rank="place").select("qid", "vec_id")
-    return top_k(verified(few, queries, index.vectors), k).select("qid", "rank", "vec_id", "ip")
+    return top_k(scored, k + ub, by=by, rank="place").select("qid", "vec_id")
+
+
+def baseline_search(index: Baseline, queries: DataFrame, k: int, ub: int, tables: int | None = None, by: str = "overlap") -> DataFrame:
+    """The k best of the baseline's candidates."""
+    return top_k(verified(baseline_candidates(index, queries, k, ub, tables, by), queries, index.vectors), k).select("qid", "rank", "vec_id", "ip")
 
 
 def first_candidates_search(index: Baseline, queries: DataFrame, k: int, most: int = 200) -> DataFrame:
@@ -222,8 +226,12 @@ def first_candidates_search(index: Baseline, queries: DataFrame, k: int, most: i
 
 def inverted_overlap_search(index: Baseline, queries: DataFrame, k: int, ub: int) -> DataFrame:
     """The same by exact set overlaps, from the inverted index slot -> points."""
-    few = top_k(inverted_scores(index, queries), k + ub, by="n_common", rank="place").select("qid", "vec_id")
-    return top_k(verified(few, queries, index.vectors), k).select("qid", "rank", "vec_id", "ip")
+    return top_k(verified(inverted_candidates(index, queries, k, ub), queries, index.vectors), k).select("qid", "rank", "vec_id", "ip")
+
+
+def inverted_candidates(index: Baseline, queries: DataFrame, k: int, ub: int) -> DataFrame:
+    """(qid, vec_id) of the k + ub points of most slots in common."""
+    return top_k(inverted_scores(index, queries), k + ub, by="n_common", rank="place").select("qid", "vec_id")
 
 
 def inverted_scores(index: Baseline, queries: DataFrame) -> DataFrame:

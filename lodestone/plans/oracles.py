@@ -182,6 +182,19 @@ def mean6(x: str) -> str:
 
 
 CTES["recalls"] = recall("found")
+CTES["sub_truth"] = ranked(f"(SELECT * FROM emb_dot WHERE vec_id < {q.SUBSET}) s", q.K_EMB)
+CTES["base_cut"] = cut("base_over", "overlap DESC", q.K_EMB + q.UB)
+CTES["inv_cut"] = cut("inv", "n_common DESC", q.K_EMB + q.UB)
+
+
+def averages(found: str, candidates: str) -> str:
+    """Recall, ratios by rank and cost of an un-clustered method."""
+    per = f"SELECT f.qid AS qid, round(CAST(sum(CAST(round(ratio * 1e9) AS BIGINT)) AS DOUBLE) / count(*) / 1e9, 6) AS mean_ratio, arg_max(ratio, rank) AS kth_ratio FROM (SELECT f.qid AS qid, f.rank AS rank, round(CAST(f.ip AS DOUBLE) / t.ip, 9) AS ratio FROM {found} f JOIN emb_truth t ON f.qid = t.qid AND f.rank = t.rank) f GROUP BY 1"
+    costs = f"SELECT qid, count(*) AS n_verified FROM {candidates} GROUP BY 1"
+    mean = lambda x: f"round(CAST(sum(CAST(round({x} * 1e6) AS BIGINT)) AS DOUBLE) / count({x}) / 1e6, 6)"
+    return f"SELECT count(*) AS n_queries, {mean('recall')} AS recall, {mean('mean_ratio')} AS ratio, {mean('kth_ratio')} AS kth_ratio, {mean('coalesce(n_verified, 0)')} AS avg_verified FROM ({recall(found)}) r LEFT JOIN ({per}) p ON r.qid = p.qid LEFT JOIN ({costs}) c ON r.qid = c.qid"
+
+
 CTES["ratios"] = "SELECT t.qid AS qid, round(least(1.0::DOUBLE, CAST(coalesce(got, 0) AS DOUBLE) / best), 9) AS ratio FROM (SELECT qid, sum(ip) AS best FROM emb_truth GROUP BY 1) t LEFT JOIN (SELECT qid, sum(ip) AS got FROM found GROUP BY 1) f ON t.qid = f.qid"
 CTES["aligned"] = "SELECT f.qid AS qid, f.rank AS rank, round(CAST(f.ip AS DOUBLE) / t.ip, 9) AS ratio FROM found f JOIN emb_truth t ON f.qid = t.qid AND f.rank = t.rank"
 CTES["covered_t"] = f"SELECT t.qid AS qid, CAST(cut AS INTEGER) AS cut, count(CASE WHEN p.place <= cut THEN 1 END) AS covered FROM (SELECT DISTINCT qid FROM emb_truth) t CROSS JOIN (VALUES {', '.join(f'({c})' for c in q.CUTS)}) c(cut) LEFT JOIN (SELECT * FROM proxy WHERE (qid, vec_id) IN (SELECT (qid, vec_id) FROM emb_truth)) p ON t.qid = p.qid GROUP BY 1, 2"
@@ -244,6 +257,16 @@ FINAL: dict[str, str] = {
     "affine_hashes": f"SELECT o_orderkey, {hashing.affine_hash('48271', '11', 'o_orderkey', '1009')} AS hash, {hashing.draw('o_orderkey', '3', 5)} AS draw FROM orders",
     "band_keys": "SELECT vec_id, h // 4 AS band, CAST((((sum(CASE WHEN h % 4 = 0 THEN mh END) * 31 + sum(CASE WHEN h % 4 = 1 THEN mh END)) % 1048576 * 31 + sum(CASE WHEN h % 4 = 2 THEN mh END)) % 1048576 * 31 + sum(CASE WHEN h % 4 = 3 THEN mh END)) % 1048576 AS BIGINT) AS key FROM emb_fsig GROUP BY 1, 2",
     "string_tags": "SELECT p_partkey, lower(trim(p_type)) AS tag, regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g') AS safe, string_split(p_type, ' ')[1] AS head FROM part",
+    "csv_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
+    "row_slice": f"SELECT vec_id, dim, val FROM cust_vec WHERE vec_id = {q.ROW}",
+    "smooth_m0": "SELECT p_partkey, CAST(ceil(round(150 + 100 * greatest(0.0::DOUBLE, (CAST(p_partkey % 101 AS DOUBLE) / 100 - 0.5::DOUBLE) / 0.5::DOUBLE), 9)) AS INTEGER) AS m0 FROM part",
+    "size_dependent_eta": "SELECT o_orderkey, CASE WHEN o_orderkey * 1000 >= 1000000 THEN 0.03::DOUBLE WHEN o_orderkey * 1000 >= 100000 THEN 0.05::DOUBLE ELSE 0.15::DOUBLE END AS eta FROM orders",
+    "minhash_overlap_200": verified(cut("base_over", "overlap DESC", q.K_EMB + 200), q.K_EMB),
+    "minhash_overlap_20000": verified(cut("base_over", "overlap DESC", q.K_EMB + 20000), q.K_EMB),
+    "cluster_averages": f"SELECT count(*) AS n_queries, {mean6('recall')} AS recall, {mean6('ratio')} AS ratio, {mean6('coalesce(n_verified, 0)')} AS avg_verified, {mean6(str(q.NPROBE))} AS avg_requested, {mean6('coalesce(n_selected, 0)')} AS avg_selected, {mean6('coalesce(n_clusters, 0)')} AS avg_active FROM recalls JOIN ratios USING (qid) LEFT JOIN costs USING (qid) LEFT JOIN (SELECT qid, count(*) AS n_selected FROM route GROUP BY 1) s USING (qid)",
+    "subset_benchmark": f"SELECT a.qid AS qid, n_hits, recall, ratio FROM (SELECT t.qid AS qid, coalesce(n, 0) AS n_hits, round(CAST(coalesce(n, 0) AS DOUBLE) / {q.K_EMB}, 9) AS recall FROM (SELECT DISTINCT qid FROM sub_truth) t LEFT JOIN (SELECT qid, count(DISTINCT vec_id) AS n FROM found WHERE (qid, vec_id) IN (SELECT (qid, vec_id) FROM sub_truth) GROUP BY 1) h ON t.qid = h.qid) a JOIN (SELECT t.qid AS qid, round(least(1.0::DOUBLE, CAST(coalesce(got, 0) AS DOUBLE) / best), 9) AS ratio FROM (SELECT qid, sum(ip) AS best FROM sub_truth GROUP BY 1) t LEFT JOIN (SELECT qid, sum(ip) AS got FROM found GROUP BY 1) f ON t.qid = f.qid) b ON a.qid = b.qid",
+    "baseline_benchmark": averages("base_found", "base_cut"),
+    "inverted_benchmark": averages("inv_found", "inv_cut"),
     "doc_freq": "SELECT * FROM doc_df",
     "idf_weights": "SELECT * FROM doc_w",
     "idf_full_universe": "SELECT * FROM custf_w",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import dense, hashing, parameters
 from lodestone.operators import cluster, evaluate, idf, search, selection, sketch, space, vectors
 from lodestone.operators.storage import durable, shared_dir
-from lodestone.sources import csr, fixtures
+from lodestone.sources import config, csr, fixtures
 
 #: Parameters of the registered queries; their SQL is generated from the same values.
 K_DOCS, K_CUST, K_EMB = 50, 20, 10
@@ -20,6 +20,7 @@ CLUSTERS, ROUNDS, TAU, NPROBE = 8, 2, 80, 3
 M0, ETA, L_BASE, IDF_RANGE, SEED = 24, 0.15, 20, (0.5, 3.0), 2026
 BASE_L, BASE_M, UB = 10, 32, 40
 DIM_LIMIT, SUBSET = 32, 100
+ROW = 7
 TARGETS = (0.85, 0.9, 0.95, 0.98)
 CUTS = (100, 200, 500, 1000)
 
@@ -142,9 +143,23 @@ def truth_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csr.truth_csv(emb_truth(spark, sf_dir), 5, 1_000_000)
 
 
+@query
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through a CSV table with a header in the shared folder, and back."""
+    path = f"{shared_dir(spark)}/lodestone-csv-{spark.sparkContext.applicationId}"
+    orders = fixtures.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders.write.mode("overwrite").option("header", True).csv(path)
+    return config.read_csv(spark, path, "o_orderkey bigint, o_custkey bigint, o_totalprice double")
+
+
 # Projections and norms
 
 
+@query
+def row_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.row_slice(fixtures.cust_vec(spark, sf_dir), ROW)
+
+
 @query
 def row_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.norm_squares(fixtures.doc_vec(spark, sf_dir))
@@ -350,6 +365,17 @@ def uniform_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parameters.uniform_params(cluster.sizes(index.members), index.meta["n"], K_EMB, M0, ETA)
 
 
+@query
+def smooth_m0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fixtures.table(spark, sf_dir, "part")
+    return part.select("p_partkey", parameters.smooth_m0_of((F.col("p_partkey") % 101) / 100).alias("m0"))
+
+
+@query
+def size_dependent_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.table(spark, sf_dir, "orders").select("o_orderkey", parameters.size_dependent_eta_of(F.col("o_orderkey") * 1000).alias("eta"))
+
+
 @query
 def active_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = emb_index(spark, sf_dir)
@@ -394,6 +420,16 @@ def baseline_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.baseline_search(emb_baseline(spark, sf_dir), emb_q(spark, sf_dir), K_EMB, UB)
 
 
+@query
+def minhash_overlap_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.baseline_search(emb_baseline(spark, sf_dir), emb_q(spark, sf_dir), K_EMB, 200)
+
+
+@query
+def minhash_overlap_20000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.baseline_search(emb_baseline(spark, sf_dir), emb_q(spark, sf_dir), K_EMB, 20_000)
+
+
 @query
 def raw_collision_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.baseline_search(emb_baseline(spark, sf_dir), emb_q(spark, sf_dir), K_EMB, UB, by="cc")
@@ -490,6 +526,34 @@ def benchmark_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.benchmark_averages(per)
 
 
+@query
+def cluster_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark_averages with the clusters that queries asked for, found, and got candidates from."""
+    routed = route_clusters(spark, sf_dir).groupBy("qid").agg(F.count(F.lit(1)).alias("n_selected"))
+    counts = verified_counts(spark, sf_dir).withColumnRenamed("n_clusters", "n_active")
+    per = recall_at_k(spark, sf_dir).join(score_ratio(spark, sf_dir), "qid").join(counts, "qid", "left").join(routed, "qid", "left").withColumn("n_requested", F.lit(NPROBE))
+    return evaluate.benchmark_averages(per.na.fill(0, ["n_verified", "n_active", "n_selected"]), clusters=True)
+
+
+@query
+def subset_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clustered search held against the truth of the first vectors."""
+    truth = subset_truth(spark, sf_dir)
+    return evaluate.recall_at_k(emb_result(spark, sf_dir), truth, K_EMB).join(evaluate.score_ratio(emb_result(spark, sf_dir), truth), "qid")
+
+
+@query
+def baseline_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = search.baseline_candidates(emb_baseline(spark, sf_dir), emb_q(spark, sf_dir), K_EMB, UB).groupBy("qid").agg(F.count(F.lit(1)).alias("n_verified"))
+    return evaluate.baseline_averages(baseline_topk(spark, sf_dir), emb_truth(spark, sf_dir), counts, K_EMB)
+
+
+@query
+def inverted_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = search.inverted_candidates(emb_baseline(spark, sf_dir), emb_q(spark, sf_dir), K_EMB, UB).groupBy("qid").agg(F.count(F.lit(1)).alias("n_verified"))
+    return evaluate.baseline_averages(inverted_overlap_topk(spark, sf_dir), emb_truth(spark, sf_dir), counts, K_EMB)
+
+
 # Selection
 
 
