@@ -7,7 +7,6 @@ only enter at query time.
 from __future__ import annotations
 
 import dataclasses
-import os
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -35,9 +34,12 @@ class Dataset:
     k: int
 
 
-def prepare(name: str, base: DataFrame, queries: DataFrame, k: int, truth_dir: str | None = None, query_limit: int | None = None) -> Dataset:
-    """Exact answers come from truth_dir if they were made from these very vectors, queries and k, else are made and kept there."""
+def prepare(name: str, base: DataFrame, queries: DataFrame, k: int, truth_dir: str | None = None, query_limit: int | None = None, truth: DataFrame | None = None) -> Dataset:
+    """Exact answers are those given, or come from truth_dir if they were made from these very vectors, queries and k, else are made and kept there."""
     base, queries = durable(base), durable(queries if query_limit is None or query_limit < 0 else queries.join(F.broadcast(search.query_sample(queries, query_limit)), "qid"))
+    if truth is not None:
+        known = truth.where(F.col("rank") <= k).join(queries.select("qid").distinct(), "qid", "left_semi")
+        return Dataset(name, base, queries, durable(known.select("qid", "rank", "vec_id", "ip")), k)
     exact = vectors.exact_topk(queries, base, k).select("qid", "rank", "vec_id", "ip")
     if truth_dir is None:
         return Dataset(name, base, queries, durable(exact), k)
@@ -63,10 +65,21 @@ def clustered_benchmark(data: Dataset, index: search.Index, nprobe: int, k: int
     return {"recall": row["recall"], "ratio": row["ratio"], "cost": row["avg_verified"], "qps": row["n_queries"] / seconds, "seconds": seconds}
 
 
+def _sketch_benchmark(data: Dataset, results: DataFrame, candidates: DataFrame) -> dict:
+    results, seconds = timed(results)
+    counts = candidates.groupBy("qid").agg(F.count(F.lit(1)).alias("n_verified"))
+    row = evaluate.baseline_averages(results, data.truth, counts, data.k).first()
+    return {"recall": row["recall"], "ratio": row["ratio"], "kth_ratio": row["kth_ratio"], "cost": row["avg_verified"], "qps": row["n_queries"] / seconds, "seconds": seconds}
+
+
 def baseline_benchmark(data: Dataset, index: search.Baseline, ub: int) -> dict:
-    results, seconds = timed(search.baseline_search(index, data.queries, data.k, ub))
-    row = evaluate.recall_at_k(results, data.truth, data.k).agg(F.avg("recall"), F.count(F.lit(1))).first()
-    return {"recall": row[0], "cost": float(data.k + ub), "qps": row[1] / seconds, "seconds": seconds}
+    """Recall, ratios by rank, cost and queries a second of the global sketch."""
+    return _sketch_benchmark(data, search.baseline_search(index, data.queries, data.k, ub), search.baseline_candidates(index, data.queries, data.k, ub))
+
+
+def inverted_benchmark(data: Dataset, index: search.Baseline, ub: int) -> dict:
+    """The same by exact set overlaps."""
+    return _sketch_benchmark(data, search.inverted_overlap_search(index, data.queries, data.k, ub), search.inverted_candidates(index, data.queries, data.k, ub))
 
 
 def linear_benchmark(data: Dataset) -> dict:
@@ -117,9 +130,51 @@ def sweep_build(data: Dataset, name: str, values: Iterable, nprobe: int, **fixed
     return _curve(data.vectors.sparkSession, rows)
 
 
-def sweep_baseline(data: Dataset, index: search.Baseline, ubs: Iterable[int]) -> DataFrame:
-    got = [(u, baseline_benchmark(data, index, u)) for u in ubs]
-    return _curve(data.vectors.sparkSession, [(data.name, "baseline", "default", float(u), r["recall"], r["qps"], r["cost"]) for u, r in got])
+def sweep_baseline(data: Dataset, index: search.Baseline, ubs: Iterable[int], method: str = "baseline") -> DataFrame:
+    benchmark = {"baseline": baseline_benchmark, "inverted": inverted_benchmark}[method]
+    got = [(u, benchmark(data, index, u)) for u in ubs]
+    return _curve(data.vectors.sparkSession, [(data.name, method, "default", float(u), r["recall"], r["qps"], r["cost"]) for u, r in got])
+
+
+def sweep_c(data: Dataset, index: search.Index, levels: Iterable[float], nprobe: int) -> DataFrame:
+    """(c, satisfied): the share of ranks that reach a ratio of c."""
+    return evaluate.satisfied_at_c(search.clustered_search(index, data.queries, data.k, nprobe), data.truth, data.k, tuple(levels))
+
+
+GRID = "dataset string, seed long, k_clusters int, tau_percent int, nprobe int, recall double, qps double, avg_verified double, build_seconds double, index_bytes long"
+
+
+def timed_call(make):  # noqa: ANN001, ANN201
+    began = time.perf_counter()
+    out = make()
+    return out, time.perf_counter() - began
+
+
+def grid(data: Dataset, nprobes: Iterable[int], ks: Iterable[int] | None = None, taus: Iterable[int] | None = None, **fixed) -> DataFrame:  # noqa: ANN003
+    """Every number of clusters and spill threshold with every nprobe; an index for each of the former, clusters once a number."""
+    rows, nprobes, seed = [], list(nprobes), fixed.get("seed", 2026)
+    rest = {x: v for x, v in fixed.items() if x not in ("k_clusters", "tau_percent")}
+    for k_clusters in ks or [fixed.get("k_clusters", 15)]:
+        clusters, first = timed_call(lambda k=k_clusters: cluster.kmeans(data.vectors, k, fixed.get("max_iter", 25), seed=seed))
+        for tau in taus or [fixed.get("tau_percent", 80)]:
+            index, seconds = timed_call(lambda k=k_clusters, t=tau, c=clusters: search.build(data.vectors, k, t, k=data.k, clustering=c, **rest).settled())
+            size = space.index_bytes(index.signatures, index.centroids).first()["total_bytes"]
+            for p in nprobes:
+                r = clustered_benchmark(data, index, min(p, k_clusters))
+                rows.append((data.name, seed, k_clusters, tau, p, r["recall"], r["qps"], float(r["cost"]), first + seconds, int(size)))
+    return data.vectors.sparkSession.createDataFrame(rows, GRID)
+
+
+def reselect(points: DataFrame, target: float = 0.95) -> dict[str, DataFrame]:
+    """The result tables of a grid: working points, every row's role, and the smallest nprobe of each configuration that reaches the target."""
+    config = F.concat(F.lit("K="), "k_clusters", F.lit(" tau="), "tau_percent")
+    curve = points.select("dataset", F.lit("clustered").alias("method"), config.alias("config"), F.col("nprobe").cast("double").alias("knob"), "recall", "qps", F.col("avg_verified").alias("cost"))
+    return {"working_points": selection.pick_working_points(curve), "selection": selection.parameter_roles(curve), "smallest_nprobe": selection.select_min_nprobe(curve, target)}
+
+
+def summary(table: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """The columns that a table has of those asked for, in that order."""
+    return table.select(*[c for c in columns if c in table.columns])
 
 
 def ablation(data: Dataset, nprobe: int, ub: int, **fixed) -> DataFrame:  # noqa: ANN003
@@ -199,6 +254,8 @@ def compare(data: Dataset, methods: Iterable[str], nprobes: Iterable[int], ubs:
             curves.append(_curve(spark, [(data.name, "linear", "default", 0.0, r["recall"], r["qps"], r["cost"])]))
         elif method == "baseline":
             curves.append(sweep_baseline(data, search.build_baseline(data.vectors), ubs))
+        elif method == "inverted":
+            curves.append(sweep_baseline(data, search.build_baseline(data.vectors), ubs, method))
         elif method == "clustered":
             index = search.Index.load(data.vectors, index_dir) if index_dir else None
             if index is None:
@@ -219,13 +276,23 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return csr.long_form(csr.read_csr(spark, path)) if path.endswith((".csr", ".bin")) else spark.read.parquet(path)
 
 
+def dataset(spark: SparkSession, conf: cfg.Config, d: cfg.Dataset) -> Dataset:
+    """A configuration's dataset, with the ground truth that it names or else one that is made and kept in output_dir."""
+    truth = csr.read_truth(spark, d.groundtruth_path) if d.groundtruth_path else None
+    return prepare(d.name, read_vectors(spark, d.base_path), read_vectors(spark, d.query_path).withColumnRenamed("vec_id", "qid"), conf.topk, f"{conf.output_dir}/truth_{d.name}", conf.query_subset_size, truth)
+
+
+def settings(conf: cfg.Config, data: Dataset) -> dict:
+    eta = conf.eta if conf.eta > 0 else parameters.size_dependent_eta(data.vectors.select("vec_id").distinct().count())
+    return {"k_clusters": conf.k_clusters if conf.k_clusters > 0 else 15, "tau_percent": round(100 * conf.tau) if conf.tau >= 0 else 80, "eta": eta, "seed": conf.random_seed}
+
+
 def run_config(spark: SparkSession, conf: cfg.Config, targets: tuple[float, ...] = (0.8, 0.9, 0.95, 0.98)) -> DataFrame:
     """The comparison over every dataset of a configuration; curves, equal-recall tables and a report go to output_dir."""
     every = None
     for d in conf.datasets:
-        data = prepare(d.name, read_vectors(spark, d.base_path), read_vectors(spark, d.query_path).withColumnRenamed("vec_id", "qid"), conf.topk, f"{conf.output_dir}/truth_{d.name}", conf.query_subset_size)
-        fixed = {"k_clusters": conf.k_clusters if conf.k_clusters > 0 else 15, "tau_percent": round(100 * conf.tau) if conf.tau >= 0 else 80, "eta": conf.eta if conf.eta > 0 else parameters.size_dependent_eta(data.vectors.select("vec_id").distinct().count()), "seed": conf.random_seed}
-        rows = compare(data, conf.methods, conf.nprobes, conf.budgets, f"{conf.output_dir}/index_{d.name}", **fixed)
+        data = dataset(spark, conf, d)
+        rows = compare(data, conf.methods, conf.nprobes, conf.budgets, f"{conf.output_dir}/index_{d.name}", **settings(conf, data))
         every = rows if every is None else every.unionByName(rows)
     if every is None:
         raise ValueError("the configuration names no dataset")
@@ -234,12 +301,45 @@ def run_config(spark: SparkSession, conf: cfg.Config, targets: tuple[float, ...]
     best = selection.select_max_qps(every, targets)
     cfg.write_csv(selection.speedups(best, "baseline"), f"{conf.output_dir}/equal_recall")
     cfg.write_csv(selection.paper_table(best, targets), f"{conf.output_dir}/paper_table")
-    if "://" not in conf.output_dir:
-        with open(os.path.join(conf.output_dir, "report.md"), "w") as f:
-            f.write(report(every, targets))
+    cfg.write_text(spark, report(every, targets), f"{conf.output_dir}/report")
     return every
 
 
+def full_run(spark: SparkSession, conf: cfg.Config, ks: tuple[int, ...] = (5, 15, 32), taus: tuple[int, ...] = (70, 80, 90), target: float = 0.95) -> dict[str, DataFrame]:
+    """Every experiment over every dataset, each table kept under output_dir; a run that broke off goes on at the first table that is missing."""
+    out: dict[str, DataFrame] = {}
+    for d in conf.datasets:
+        data = dataset(spark, conf, d)
+        out |= {f"{d.name}/{name}": table for name, table in _experiments(spark, conf, data, ks, taus, target).items()}
+    return out
+
+
+def _experiments(spark: SparkSession, conf: cfg.Config, data: Dataset, ks: tuple[int, ...], taus: tuple[int, ...], target: float) -> dict[str, DataFrame]:
+    fixed, most, made = settings(conf, data), max(conf.nprobes), []
+
+    def index() -> search.Index:
+        if not made:
+            made.append(search.build(data.vectors, k=data.k, **fixed).settled())
+        return made[0]
+
+    steps = {
+        "grid": lambda: grid(data, conf.nprobes, ks, **fixed),
+        "tau_grid": lambda: grid(data, conf.nprobes, None, taus, **fixed),
+        "curves": lambda: compare(data, conf.methods, conf.nprobes, conf.budgets, **fixed),
+        "satisfied": lambda: sweep_c(data, index(), (0.8, 0.85, 0.9, 0.95), most),
+        "proxy": lambda: proxy_validity(data, index(), most),
+        "breakdown": lambda: build_breakdown(data.vectors, **fixed),
+        "space": lambda: space_gain(data.vectors, ks, **{x: v for x, v in fixed.items() if x not in ("k_clusters", "eta")}),
+    }
+    manifest = {"data": fingerprint(data.vectors), "k": data.k, "fixed": fixed, "nprobes": conf.nprobes, "budgets": conf.budgets, "methods": conf.methods, "ks": ks, "taus": taus}
+    base = f"{conf.output_dir}/{data.name}"
+    out = {name: get_or_build(spark, f"{base}/{name}", manifest, lambda n=name, m=make: {n: m()})[name] for name, make in steps.items()}
+    chosen = reselect(out["grid"], target)
+    for name, table in chosen.items():
+        cfg.write_csv(table, f"{base}/{name}")
+    return out | chosen
+
+
 def report(curves: DataFrame, targets: tuple[float, ...]) -> str:
     best = selection.select_max_qps(curves, targets)
     parts = ["# Equal recall", cfg.markdown(selection.paper_table(best, targets).orderBy("dataset", "method")), "# Order along targets", cfg.markdown(selection.monotonic(best).orderBy("dataset", "method")), "# Curves", cfg.markdown(curves.orderBy("dataset", "method", "knob"))]

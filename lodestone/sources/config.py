@@ -82,8 +82,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown."""
-    rows = df.limit(limit).collect()
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A report as one text file in a folder, on whatever file system that is."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def markdown(df: DataFrame) -> str:
+    """A small result table as Markdown, all its rows."""
     line = lambda cells: "| " + " | ".join("" if x is None else str(x) for x in cells) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in df.collect()]])
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """Results of any size: Parquet, or CSV with a header if the path says so."""
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if path.endswith(".csv") else writer.parquet(path)

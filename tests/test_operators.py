@@ -153,6 +153,35 @@ def test_selectors_on_a_method_that_never_reaches_a_target(spark):
     assert rows(selection.select_reaching(curve, (0.9,)), "method") == [("a",)]
 
 
+def test_spearman_of_many_rows_does_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    rows_ = spark.range(120_000).select(F.lit(0).alias("qid"), F.col("id").alias("a"), (F.col("id") * 7 % 120_011).alias("b"))
+    assert -1 < evaluate.spearman(rows_, "a", "b").first()["spearman"] < 1
+
+
+def test_default_working_point_near_the_band_is_the_faster_of_equals(spark):
+    grid = spark.createDataFrame([("d", "m", "x", 1.0, 0.9, 10.0, 1.0), ("d", "m", "y", 1.0, 0.9, 20.0, 9.0)], "dataset string, method string, config string, knob double, recall double, qps double, cost double")
+    assert [r["config"] for r in selection.pick_working_points(grid).where("role = 'default'").collect()] == ["y"]
+
+
+def test_exact_search_beyond_the_broadcast_bound_agrees(small):
+    base, queries, _ = small
+    assert rows(vectors.gathered_dot(queries, base, 0)) == rows(vectors.gathered_dot(queries, base))
+
+
+def test_exact_search_ranks_pairs_where_they_are_made(small):
+    base, queries, _ = small
+    plan = vectors.exact_topk(queries, base, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # vectors by id, and the best rows by query
+
+
+def test_a_settled_index_answers_alike_and_stays_in_place(small):
+    base, queries, index = small
+    settled = index.settled()
+    assert rows(search.clustered_search(settled, queries, 5, 3)) == rows(search.clustered_search(index, queries, 5, 3))
+
+
 def test_parameters():
     assert [parameters.default_m0(c) for c in (0.9, 0.8, 0.6, 0.2)] == [200, 170, 150, 120]
     assert parameters.smooth_m0(0.75) == 200 and parameters.smooth_m0(0.1) == 150

@@ -52,10 +52,54 @@ def test_comparison_over_a_configuration(spark, tmp_path):
     got = ex.run_config(spark, conf)
     assert {r["method"] for r in got.collect()} == {"linear", "baseline", "clustered"}
     assert got.where("method = 'linear' and recall = 1.0").count() == 1
-    assert (tmp_path / "out" / "report.md").read_text().startswith("# Equal recall")
+    assert next((tmp_path / "out" / "report").glob("part-*")).read_text().startswith("# Equal recall")
     assert config.read_csv(spark, str(tmp_path / "out" / "curves")).count() == got.count()
 
 
+def test_a_named_ground_truth_is_the_one_used(spark, tmp_path):
+    base = small(spark)
+    base.write.parquet(str(tmp_path / "base"))
+    base.where("vec_id < 5").write.parquet(str(tmp_path / "q"))
+    wrong = spark.createDataFrame([(q, 1, 24, 1.0) for q in range(5)], "qid long, rank int, vec_id long, ip double")
+    csr.write_truth(wrong, str(tmp_path / "t.ben"), 1)
+    conf = config.Config(output_dir=str(tmp_path / "out"), topk=1)
+    data = ex.dataset(spark, conf, config.Dataset("d", str(tmp_path / "base"), str(tmp_path / "q"), str(tmp_path / "t.ben")))
+    assert {r["vec_id"] for r in data.truth.collect()} == {24}
+
+
+def test_full_run_goes_on_where_it_broke_off_and_grids_are_selected_from(spark, tmp_path, monkeypatch):
+    base = small(spark)
+    base.write.parquet(str(tmp_path / "base"))
+    base.where("vec_id < 5").write.parquet(str(tmp_path / "q"))
+    conf = config.Config(output_dir=str(tmp_path / "out"), topk=3, nprobes=[2], k_clusters=2, methods=["linear", "inverted"], budgets=[5], datasets=[config.Dataset("d", str(tmp_path / "base"), str(tmp_path / "q"))])
+    calls = []
+    for name in ("proxy_validity", "build_breakdown", "space_gain", "compare"):
+        monkeypatch.setattr(ex, name, lambda *a, n=name, **k: calls.append(n) or spark.createDataFrame([(n,)], "what string"))
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(ex, "space_gain", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+        ex.full_run(spark, conf, (2,), (80,))
+    before = len(calls)
+    got = ex.full_run(spark, conf, (2,), (80,))
+    assert calls[before:] == ["space_gain"]
+    assert got["d/grid"].count() == 1 and got["d/working_points"].count() == 2 and got["d/satisfied"].count() > 0
+    assert ex.summary(got["d/grid"], ["recall", "nothing", "nprobe"]).columns == ["recall", "nprobe"]
+
+
+def test_inverted_method_has_a_benchmark(spark):
+    base = small(spark)
+    data = ex.prepare("d", base, base.where("vec_id < 5").withColumnRenamed("vec_id", "qid"), 3)
+    row = ex.compare(data, ["inverted"], [1], [50]).first()
+    assert row["method"] == "inverted" and row["recall"] > 0.5 and row["cost"] > 0
+
+
+def test_command_line_writes_all_results(spark, tmp_path, capsys):
+    small(spark).write.parquet(str(tmp_path / "base"))
+    args = ["search", str(tmp_path / "base"), str(tmp_path / "base"), "--k", "2", "--clusters", "2", "--nprobe", "2"]
+    cli.main([*args, "--out", str(tmp_path / "found")], spark)
+    cli.main(args, spark)
+    assert len(capsys.readouterr().out.splitlines()) == spark.read.parquet(str(tmp_path / "found")).count() > 25
+
+
 def test_command_line_writes_a_truth_file(spark, tmp_path):
     small(spark).write.parquet(str(tmp_path / "base"))
     cli.main(["truth", str(tmp_path / "base"), str(tmp_path / "base"), str(tmp_path / "t.ben"), "--k", "2"], spark)
