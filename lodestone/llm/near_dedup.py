@@ -39,8 +39,11 @@ HASHES = 96
 MISS = 1e-5
 #: Ids are broadcast to a scan up to this many, and joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
-#: Strays and members of a bucket, and the partners of a class, meet in blocks of about this many.
+#: The partners of a class meet it in blocks of about this many.
+PARTNERS = 128
+#: Strays and members of a bucket meet in blocks of about so many rows and shingles.
 BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 20
 PIECE = 1 << 21
 _BASE, _BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -209,8 +212,8 @@ def only_ids(rows: DataFrame, ids: DataFrame, on: list[str] | Column, how: str =
 
 
 def grouped(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) as members of groups (a, block, role, id): a in role 0, and about BLOCK_ROWS of its partners in role 1."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    """Pairs (a, b) as members of groups (a, block, role, id): a in role 0, and about PARTNERS of its partners in role 1."""
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks"))
     heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
     many = blocks.where("blocks > 1")
     partners = join_unique(pairs, many, ["a"]).select("a", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
@@ -275,18 +278,20 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return met.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id").mapInArrow(_likely, "a long, b long")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of classes that are links, by the full sets of their texts (doc_id, text_hash, text)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def read_texts(ids: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, text) of classes, from texts (doc_id, text_hash, text)."""
     want = scratch.put(classes.join(ids, "id", "left_semi").select("id", F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("text_hash").alias("__hash")))
     named = texts.select(F.coalesce("doc_id", F.lit(0)).alias("__doc"), F.col("text_hash").alias("__hash"), "text")
     few = F.broadcast(want) if want.count() <= BROADCAST_IDS else want
     # Rows that repeat id and text are alike; one of them stands for the class.
-    read = named.join(few, ["__doc", "__hash"]).groupBy("id").agg(F.first("text").alias("text"))
+    return named.join(few, ["__doc", "__hash"]).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of classes that are links, by the full sets of their texts."""
+    read = read_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, texts, scratch)
     met = grouped(pairs).join(read, "id").select("a", "block", F.lit(0).alias("third"), "role", "id", "text")
-    out = scratch.put(met.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id").mapInArrow(_linked, "a long, b long"))
-    scratch.drop(want)
-    return out
+    return scratch.put(met.repartition("a", "block").sortWithinPartitions("a", "block", "role", "id").mapInArrow(_linked, "a long, b long"))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -309,48 +314,88 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(after)
 
 
-def strays(crowded: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
-    """The likely pairs of strays and members of other components, from bucket members (key, id, hub) and labels (id, component).
+MET = ["key", "sb", "mb", "role", "id"]
+
+
+def strays(crowded: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between strays and members of other components, from bucket members (key, id, hub) and labels (id, component).
 
-    A stray is a member outside the hub's component. Strays and members of a bucket are cut into blocks of about
-    BLOCK_ROWS; a block of strays meets a block of members in one task, which compares their signatures there, so that
-    only likely pairs leave it. A pair that shares several buckets is compared in the first.
+    A stray is a member outside the hub's component. Strays and members of a bucket are cut into blocks; a block of
+    strays meets a block of members in one task. There their signatures tell who has a likely partner; the texts of those
+    alone meet in the same blocks again, and only links between what isn't linked yet leave the task. So neither round
+    gives more than its rows, however many pairs are alike. A pair that shares several buckets is compared in the first.
     """
-    placed = crowded.where("id <> hub").join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    placed = crowded.where("id <> hub").join(label, "id", "left").join(classes.select("id", "n"), "id").withColumn("c", F.coalesce("component", "id")).drop("component")
     at_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("hub_c"))
     placed = placed.join(at_hub, "hub", "left").withColumn("hub_c", F.coalesce("hub_c", "hub"))
     stray = (F.col("c") != F.col("hub_c")).cast("int")
-    sizes = placed.groupBy("key").agg(F.sum(stray).alias("s"), F.count(F.lit(1)).alias("m")).where("s > 0 and m > 1")
-    cut = placed.join(sizes, "key").select("key", "id", "c", "hub_c", F.ceil(F.col("s") / BLOCK_ROWS).cast("int").alias("s"), F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("m"))
-    own = lambda blocks: F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    blocks = lambda one: F.ceil(F.greatest(F.sum(one) / BLOCK_ROWS, F.sum(one * F.col("n")) / BLOCK_SHINGLES)).cast("int")
+    sizes = placed.groupBy("key").agg(blocks(stray).alias("s"), blocks(F.lit(1)).alias("m"), F.count(F.lit(1)).alias("all")).where("s > 0 and all > 1")
+    cut = scratch.put(placed.join(sizes, "key").select("key", "id", "c", "hub_c", "s", "m"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rows = cut.where("c <> hub_c").withColumn("sb", own("s")).withColumn("mb", every("m")).withColumn("role", F.lit(0))
     rows = rows.unionByName(cut.withColumn("mb", own("m")).withColumn("sb", every("s")).withColumn("role", F.lit(1)))
-    met = rows.join(classes.select("id", "n", "sig"), "id").select("key", "sb", "mb", "role", "id", "n", "sig", "c", "hub_c")
-    return met.repartition("key", "sb", "mb").sortWithinPartitions("key", "sb", "mb", "role").mapInArrow(_meet, "a long, b long")
+    columns = [*MET, "n", "sig", "c", "hub_c"]
+    met = rows.join(classes.select("id", "n", "sig"), "id").select(*columns)
+    dealt = lambda x: x.repartition("key", "sb", "mb").sortWithinPartitions("key", "sb", "mb", "role", "id")
+    likely = scratch.put(dealt(met).mapInArrow(_meet(False), "key long, sb int, mb int, role int, id long"))
+    ids = scratch.put(likely.select("id").distinct())
+    if ids.isEmpty():
+        return ids.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    load = classes.select("id", "n", "sig").join(label, "id", "left").select("id", "n", "sig", F.coalesce("component", "id").alias("c"))
+    hubs = cut.select("key", "hub_c").distinct()
+    met = likely.join(load.join(ids, "id", "left_semi"), "id").join(hubs, "key").join(read_texts(ids, classes, texts, scratch), "id").select(*columns, "text")
+    return scratch.put(dealt(met).mapInArrow(_meet(True), "a long, b long").distinct())
+
+
+def _meet(exact: bool):
+    """Strays and members of a block by their signatures: who has a likely partner; or, with texts, the links that join components."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = least_matches()
+        top: dict[int, int] = {}  # of components that links of this task have joined
+
+        def root(x: int) -> int:
+            while (y := top.get(x, x)) != x:
+                top[x] = x = top.get(y, y)
+            return x
+
+        for batch, runs in _groups(batches):
+            ids, sizes, sig, c, hub_c = batch.column(4).to_numpy(), batch.column(5).to_numpy(), _signatures(batch.column(6)), batch.column(7).to_numpy(), batch.column(8).to_numpy()
+            keys, a, b, found = batch.column(0).to_numpy(), [], [], set()
+            sets = _each_set(as_strings(batch.column(9))) if exact else iter([None] * batch.num_rows)
+            for x, y, new, members in runs:
+                here = [next(sets) for _ in range(x, y)]
+                if new:
+                    held, group = [], tuple(int(batch.column(k)[x].as_py()) for k in range(3))
+                if not members:
+                    held += [(int(ids[i]), int(sizes[i]), int(c[i]), sig[i], here[i - x]) for i in range(x, y)]
+                    continue
+                for who, n, comp, mine, own in held:
+                    ok = (c[x:y] != comp) & ((c[x:y] == hub_c[x:y]) | (ids[x:y] > who))
+                    at = survivors(least, mine, sig, n, sizes, np.flatnonzero(ok) + x)
+                    if len(at):
+                        band = np.flatnonzero(_keys(mine[None])[0] == keys[x : x + 1].view(np.uint64))[0]
+                        at = at[(_keys(sig[at]) == _keys(mine[None])).argmax(1) == band]
+                    if not exact:
+                        found |= {(*group, 0, who)} if len(at) else set()
+                        found |= {(*group, 1, int(ids[i])) for i in at}
+                        continue
+                    for i in at:
+                        one, two = root(comp), root(int(c[i]))
+                        if one != two:
+                            inter = len(np.intersect1d(own, here[i - x], assume_unique=True))
+                            if inter * 100 >= (len(own) + len(here[i - x]) - inter) * PERCENT:
+                                top[max(one, two)] = min(one, two)
+                                a.append(min(who, int(ids[i])))
+                                b.append(max(who, int(ids[i])))
+            if exact:
+                yield _pairs(a, b)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], MET)
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    least = least_matches()
-    for batch, runs in _groups(batches):
-        ids, sizes, sig, c, hub_c = batch.column(4).to_numpy(), batch.column(5).to_numpy(), _signatures(batch.column(6)), batch.column(7).to_numpy(), batch.column(8).to_numpy()
-        key, a, b = batch.column(0).to_numpy().view(np.uint64), [], []
-        for x, y, new, members in runs:
-            if new:
-                held = []
-            if not members:
-                held += [(ids[i], sizes[i], c[i], sig[i]) for i in range(x, y)]
-                continue
-            for who, n, comp, mine in held:
-                ok = (c[x:y] != comp) & ((c[x:y] == hub_c[x:y]) | (ids[x:y] > who))
-                at = survivors(least, mine, sig, n, sizes, np.flatnonzero(ok) + x)
-                if len(at):
-                    here = np.flatnonzero(_keys(mine[None])[0] == key[x])[0]
-                    shared = (_keys(sig[at]) == _keys(mine[None])).argmax(1)
-                    at = at[shared == here]
-                a += [min(who, i) for i in ids[at]]
-                b += [max(who, i) for i in ids[at]]
-        yield _pairs(a, b)
+    return run
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -381,11 +426,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     scratch.drop(close)
     label = components(found, scratch)
     scratch.drop(found)
-    close = scratch.put(strays(crowded, label, classes))
-    scratch.drop(crowded)
+    more = strays(crowded, label, classes, texts, scratch)
     named = label
-    if not close.isEmpty():
-        more = verify(close, classes, texts, scratch)
+    if not more.isEmpty():
         # Links among components: few, so labels are found for components and not again for all ids.
         ends = more.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
         joined = components(scratch.put(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), scratch)
