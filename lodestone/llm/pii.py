@@ -1,13 +1,17 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers; those spans always stay. The field then
-labels the other tokens that hold a digit or an @: neighbours share transition potentials, and distant tokens that are the
-same or alike (same digits, same letters, or the local part of an address) share agreement potentials. Loopy message
-passing carries a label from the place where a pattern saw an entity to its other mentions in the document, such as a
-card number written without its check digits' grouping or an address whose domain is left out.
-
-The potentials are log-ratios of counts over the whole corpus: tokens by shape and pattern label, neighbouring labels, and
-how often alike tokens agree. The counts are a table of some thousand cells, whatever the input.
+labels the other tokens that hold a digit or an @, or that share a key with a token in which a pattern saw an entity:
+neighbours share transition potentials, and distant tokens that are the same or alike (same digits, same letters and
+digits, or the local part of an address) share agreement potentials, one for each kind of likeness. Loopy message passing
+carries a label from the places where a pattern saw an entity to its other mentions in the document, such as a card
+number written without its grouping, or the name before the @ of an address.
+
+The field is trained piecewise: each factor is fit alone, by maximum likelihood, to the patterns' labels over the whole
+corpus. For factors that are tables that has a closed form in counts: tokens by shape and label, neighbouring labels
+over chance, and the odds that alike tokens agree. The counts are a table of some thousand cells, whatever the input.
+What patterns don't label says nothing about tokens that are in the field for their likeness alone: these have a uniform
+factor of their own and no neighbours, and aren't counted.
 """
 
 from __future__ import annotations
@@ -42,6 +46,12 @@ DAMPING = 0.5
 #: A mention is added if it is other than `other` with this probability.
 SURE = 0.9
 KEY_CHARS = 4
+#: What alike tokens may share: digits, letters and digits, or the local part of an address.
+LIKENESS = 3
+#: An agreement potential is held to this range: alike tokens always pull, and never beyond doubt.
+PULL = (1.0, 4.0)
+#: Pseudo-counts of alike tokens that disagree and that agree.
+ALIKE = (1.0, 50.0)
 
 
 def luhn(digits: str) -> bool:
@@ -92,16 +102,16 @@ class Graph:
     end: list[int] = field(default_factory=list)
     shape: list[int] = field(default_factory=list)
     seen: list[int] = field(default_factory=list)  # the label that a pattern gave, or OTHER
+    evident: list[bool] = field(default_factory=list)  # in the field for what it holds, not for its likeness alone
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
+    likeness: list[int] = field(default_factory=list)  # of each skip edge, one of LIKENESS
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
         spans = sorted((s, e, k) for k, s, e in base)
-        longest, at, last, by_key = max((e - s for s, e, _ in spans), default=0), 0, -2, {}
-        for position, m in enumerate(TOKEN.finditer(text)):
-            token = m[0]
-            if not any("0" <= c <= "9" or c == "@" for c in token):
-                continue
+        longest, at = max((e - s for s, e, _ in spans), default=0), 0
+        tokens, known = [], set()
+        for m in TOKEN.finditer(text):
             while at < len(spans) and spans[at][0] + longest <= m.start():
                 at += 1
             label, k = OTHER, at
@@ -109,19 +119,35 @@ class Graph:
                 if spans[k][1] > m.start():
                     label = min(label, spans[k][2])
                 k += 1
+            evident = label != OTHER or any("0" <= c <= "9" or c == "@" for c in m[0])
+            if label != OTHER:
+                known |= keys(m[0])
+            tokens.append((m, label, evident))
+        last, before, seen = -2, {}, {}
+        for position, (m, label, evident) in enumerate(tokens):
+            if not evident and not known:
+                continue
+            own = keys(m[0])
+            if not evident and not own & known:
+                continue
             node = len(self.doc)
             self.doc.append(doc)
             self.start.append(m.start())
             self.end.append(m.end())
-            self.shape.append(shape(token))
+            self.shape.append(shape(m[0]))
             self.seen.append(label)
-            if last == position - 1:
+            self.evident.append(evident)
+            if evident and last == position - 1:
                 self.chain.append((node - 1, node))
-            last = position
-            for key in keys(token):
-                if key in by_key:  # each mention is tied to the one before: as many edges as mentions
-                    self.skip.append((by_key[key], node))
-                by_key[key] = node
+            last = position if evident else last
+            for key in sorted(own):
+                # Each mention is tied to the one before and to the last that a pattern saw: two edges a mention at most.
+                for other in {x[key] for x in (before, seen) if key in x}:
+                    self.skip.append((other, node))
+                    self.likeness.append(0 if key[0] == "d" else 2 if ("@" in m[0]) != ("@" in text[self.start[other] : self.end[other]]) else 1)
+                before[key] = node
+                if label != OTHER:
+                    seen[key] = node
 
 
 def shape(token: str) -> int:
@@ -145,18 +171,20 @@ class Potentials:
     unary: dict[int, np.ndarray]
     prior: np.ndarray
     chain: np.ndarray
-    skip: np.ndarray
+    skip: np.ndarray  # the pull of each likeness
 
 
 def potentials(counts: list[tuple[str, int, int, int]]) -> Potentials:
     """Log-ratios with add-one smoothing from (what, a, b, n)."""
     shapes: dict[int, np.ndarray] = {}
-    pairs, agree = np.ones((LABELS, LABELS)), np.ones((LABELS, LABELS))
+    pairs, agree = np.ones((LABELS, LABELS)), np.tile(ALIKE, (LIKENESS, 1))
     for what, a, b, n in counts:
         if what == "u":
             shapes.setdefault(a, np.ones(LABELS))[b] += n
+        elif what == "t":
+            pairs[a, b] += n
         else:
-            (pairs if what == "t" else agree)[a, b] += n
+            agree[a, b] += n
 
     def lift(x: np.ndarray) -> np.ndarray:
         x = x + x.T
@@ -165,19 +193,20 @@ def potentials(counts: list[tuple[str, int, int, int]]) -> Potentials:
 
     total = sum(shapes.values(), np.ones(LABELS))
     # Agreement only: alike tokens pull each other's labels together and say nothing else.
-    tie = float(np.clip(np.log((np.trace(agree) + 1) / (agree.sum() - np.trace(agree) + 1)), 1, 4))
-    return Potentials({k: np.log(v / v.sum()) for k, v in shapes.items()}, np.log(total / total.sum()), lift(pairs), tie * np.eye(LABELS))
+    pull = np.clip(np.log(agree[:, 1] / agree[:, 0]), *PULL)
+    return Potentials({k: np.log(v / v.sum()) for k, v in shapes.items()}, np.log(total / total.sum()), lift(pairs), pull)
 
 
 def infer(graph: Graph, model: Potentials) -> np.ndarray:
     """Label probabilities of every node by damped sum-product message passing over all documents' edges at once."""
     n = len(graph.doc)
-    belief = np.array([model.unary.get(x, model.prior) for x in graph.shape]).reshape(n, LABELS)
+    flat = np.zeros(LABELS)
+    belief = np.array([model.unary.get(x, model.prior) if sure else flat for x, sure in zip(graph.shape, graph.evident, strict=True)]).reshape(n, LABELS)
     seen = np.array(graph.seen, np.int64)
     belief[np.arange(n), seen] += np.where(seen != OTHER, 12.0, 0.0)  # a pattern's finding is as good as certain
     edges = np.array(graph.chain + graph.skip, np.int64).reshape(-1, 2)
     if len(edges):
-        psi = np.concatenate([np.broadcast_to(model.chain, (len(graph.chain), LABELS, LABELS)), np.broadcast_to(model.skip, (len(graph.skip), LABELS, LABELS))])
+        psi = np.concatenate([np.broadcast_to(model.chain, (len(graph.chain), LABELS, LABELS)), model.skip[np.array(graph.likeness, np.int64)][:, None, None] * np.eye(LABELS)])
         source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
         psi = np.concatenate([psi, psi.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
@@ -233,15 +262,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         _, _, graph = _graphs(as_strings(batch.column(0)))
-        counts.update(("u", a, b) for a, b in zip(graph.shape, graph.seen, strict=True))
+        counts.update(("u", a, b) for a, b, sure in zip(graph.shape, graph.seen, graph.evident, strict=True) if sure)
         counts.update(("t", graph.seen[i], graph.seen[j]) for i, j in graph.chain)
-        counts.update(("s", graph.seen[i], graph.seen[j]) for i, j in graph.skip)
+        counts.update(("s", k, int(graph.seen[i] == graph.seen[j])) for k, (i, j) in zip(graph.likeness, graph.skip, strict=True) if min(graph.seen[i], graph.seen[j]) != OTHER and graph.evident[i] and graph.evident[j])
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), *[pa.array([k[i] for k in counts], pa.int32()) for i in (1, 2)], pa.array(list(counts.values()), pa.int64())], ["what", "a", "b", "n"])
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Potentials:
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_count, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    return potentials(sorted((r["what"], r["a"], r["b"], r["n"]) for r in counts.collect()))  # at most 1120 * 5 + 50 rows
+    return potentials(sorted((r["what"], r["a"], r["b"], r["n"]) for r in counts.collect()))  # at most 1120 * 5 + 31 rows
 
 
 def spell(spans: list[tuple[str, int, int]]) -> str:

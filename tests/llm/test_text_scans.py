@@ -102,19 +102,29 @@ def test_the_field_labels_distant_mentions_and_leaves_the_rest_alone(docs):
     assert got[50]["spans"] == "" and got[50]["n_added"] == 0
 
 
+def test_names_before_the_at_are_mentions_however_late(docs):
+    filler = " ".join(f"word{chr(97 + i % 26)}" for i in range(300))
+    rows = [(0, f"write to jane.doe@example.com now {filler} jane.doe said {filler} ask jane.doe again and john"), (1, "jane.doe without an address")]
+    rows += [(i, f"mail ann.lee{i}@example.org or ann.lee{i} today") for i in range(50, 90)]
+    got = {r["doc_id"]: r for r in pii.scan(docs(rows)).collect()}
+    added = [x.split(":") for x in got[0]["spans"].split(",") if "+" in x]
+    assert [rows[0][1][int(s) : int(e)] for _, s, e in added] == ["jane.doe", "jane.doe"] and {k for k, *_ in added} == {"email+"}
+    assert got[1]["spans"] == ""
+
+
 def test_messages_agree_with_exact_marginals_on_a_tree():
     import itertools
 
     import numpy as np
 
-    g = pii.Graph(doc=[0] * 3, start=[0] * 3, end=[1] * 3, shape=[1, 2, 3], seen=[2, 4, 4], chain=[(0, 1)], skip=[(1, 2)])
+    g = pii.Graph(doc=[0] * 3, start=[0] * 3, end=[1] * 3, shape=[1, 2, 3], seen=[2, 4, 4], evident=[True] * 3, chain=[(0, 1)], skip=[(1, 2)], likeness=[1])
     r = np.random.default_rng(0)
-    m = pii.Potentials({k: r.normal(size=5) for k in (1, 2, 3)}, np.zeros(5), r.normal(size=(5, 5)), np.eye(5))
+    m = pii.Potentials({k: r.normal(size=5) for k in (1, 2, 3)}, np.zeros(5), r.normal(size=(5, 5)), np.array([3.0, 1.0, 2.0]))
     unary = np.array([m.unary[k] for k in (1, 2, 3)])
     unary[0, 2] += 12
     exact = np.zeros((3, 5))
     for x in itertools.product(range(5), repeat=3):
-        w = np.exp(sum(unary[i, x[i]] for i in range(3)) + m.chain[x[0], x[1]] + m.skip[x[1], x[2]])
+        w = np.exp(sum(unary[i, x[i]] for i in range(3)) + m.chain[x[0], x[1]] + m.skip[1] * (x[1] == x[2]))
         for i in range(3):
             exact[i, x[i]] += w
     exact /= exact.sum(1, keepdims=True)
