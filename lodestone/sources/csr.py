@@ -1,4 +1,4 @@
-"""Binary CSR matrices and ground-truth files, read through Spark's own file access and written for round trips.
+"""Binary CSR matrices and ground-truth files on file systems that the driver and all tasks mount.
 
 CSR: three uint64 (rows, columns, non-zeros), uint64 offsets[rows + 1], int32 indices, float32 values, little-endian.
 Truth: int32 queries, int32 depth, int32 ids[queries][depth], float32 scores[queries][depth].
@@ -9,13 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodestone.operators.storage import durable
+
 PACKED = "vec_id bigint, ind array<int>, val array<float>"
 ROWS_PER_TASK = 50_000
+ROWS_PER_BATCH = 4096
 
 
 def _offsets(path: str) -> tuple[int, int, int, np.ndarray]:
@@ -45,14 +50,16 @@ class _Reader(DataSourceReader):
         rows = _offsets(self.path)[0]
         return [_Range(a, min(rows, a + self.step)) for a in range(0, rows, self.step)] or [_Range(0, 0)]
 
-    def read(self, part: _Range) -> Iterator[tuple]:
+    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         rows, _, nnz, offsets = _offsets(self.path)
         at = 24 + 8 * (rows + 1)
         ind = np.memmap(self.path, np.int32, "r", at, (nnz,)) if nnz else np.zeros(0, np.int32)
         val = np.memmap(self.path, np.float32, "r", at + 4 * nnz, (nnz,)) if nnz else np.zeros(0, np.float32)
-        for i in range(part.first, part.last):
-            a, b = int(offsets[i]), int(offsets[i + 1])
-            yield i, ind[a:b].tolist(), val[a:b].tolist()
+        for first in range(part.first, part.last, ROWS_PER_BATCH):
+            last = min(part.last, first + ROWS_PER_BATCH)
+            ends = np.array(offsets[first : last + 1]).astype(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(np.array(x[ends[0] : ends[-1]]))) for x in (ind, val)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, last)), *lists], ["vec_id", "ind", "val"])
 
 
 class CsrDataSource(DataSource):
@@ -81,18 +88,43 @@ def long_form(packed: DataFrame) -> DataFrame:
 
 
 def write_csr(vectors: DataFrame, path: str, n: int | None = None, dims: int | None = None) -> None:
-    """Writes (vec_id, dim, val), ids from 0, to a mounted file. One file is one stream of rows, so they pass the driver one by one."""
-    sizes = vectors.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)), F.coalesce(F.max("dim") + 1, F.lit(0)), F.count(F.lit(1))).first()
+    """Writes (vec_id, dim, val), ids from 0, to a mounted file: ranges of ids go to tasks, each of which writes its part of the file.
+
+    A task's places follow from how many coordinates the ranges before it hold, and writing them again changes nothing.
+    The driver holds two numbers for each range.
+    """
+    spread = durable(vectors.select("vec_id", "dim", "val").repartitionByRange("vec_id").sortWithinPartitions("vec_id", "dim"))
+    sizes = spread.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)), F.coalesce(F.max("dim") + 1, F.lit(0)), F.count(F.lit(1))).first()
     rows, cols, nnz = n or int(sizes[0]), dims or int(sizes[1]), int(sizes[2])
-    counts, ind, val = np.zeros(rows, np.uint64), np.zeros(nnz, np.int32), np.zeros(nnz, np.float32)
-    for i, r in enumerate(vectors.select("vec_id", "dim", "val").orderBy("vec_id", "dim").toLocalIterator()):
-        counts[r[0]] += 1
-        ind[i], val[i] = r[1], r[2]
+    held = spread.groupBy(F.spark_partition_id().alias("part")).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row per task
+    starts = [0, *[r["first"] for r in held[1:]], rows]  # ids without coordinates belong to the range before them
+    before = np.concatenate([[0], np.cumsum([r["n"] for r in held])]).astype(np.int64)
+    place = {r["part"]: (int(starts[i]), int(starts[i + 1]), int(before[i])) for i, r in enumerate(held)}
     with open(path, "wb") as f:
         np.array([rows, cols, nnz], np.uint64).tofile(f)
-        np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64).tofile(f)
-        ind.tofile(f)
-        val.tofile(f)
+        f.truncate(24 + 8 * (rows + 1) + 8 * nnz)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 24 + 8 * (rows + 1)
+        mine = place.get(TaskContext.get().partitionId())
+        if mine is None:
+            yield from (b.slice(0, 0).select([0]) for b in batches)
+            return
+        first, last, done = mine
+        counts, start = np.zeros(last - first, np.uint64), done
+        with open(path, "r+b") as f:
+            for batch in batches:
+                ids, ind, val = (batch.column(i).to_numpy() for i in range(3))
+                np.add.at(counts, ids - first, np.uint64(1))
+                for offset, x in ((at, ind.astype(np.int32)), (at + 4 * nnz, val.astype(np.float32))):
+                    f.seek(offset + 4 * done)
+                    f.write(x.tobytes())
+                done += len(ids)
+            f.seek(24 + 8 * (first + 1))
+            f.write((start + np.cumsum(counts)).astype(np.uint64).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([done - start], pa.int64())], ["vec_id"])
+
+    spread.mapInArrow(write, "vec_id long").agg(F.sum("vec_id")).collect()
 
 
 def write_truth(truth: DataFrame, path: str, depth: int) -> None:
