@@ -57,10 +57,25 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_MADE: list[Scratch] = []
+
+
+def mark() -> int:
+    """How many sets of tables there are; release() drops those made later, when what needed them is written."""
+    return len(_MADE)
+
+
+def release(since: int) -> None:
+    for x in _MADE[since:]:
+        remove(x.spark, x.base)
+    del _MADE[since:]
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder. They outlive executors and cut lineage; each goes when its user drops it."""
 
     def __init__(self, spark: SparkSession) -> None:
+        _MADE.append(self)
         self.spark, self.base = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
         self.made = 0

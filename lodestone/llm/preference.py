@@ -15,7 +15,8 @@ ASSISTANT = "assistant"
 
 
 def gather(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(id, turns): a conversation's turns by (turn, role, text). A null role is `unknown`, a null text is empty."""
+    """(id, turns): a conversation's turns by (turn, role, text), null turn numbers first. A null role is `unknown`, a null
+    text is empty; turns without id are one conversation, and repeated turns all stay."""
     role, text = F.coalesce(F.col(role_col), F.lit("unknown")), F.coalesce(F.col(text_col), F.lit(""))
     one = F.struct(F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     return turns.groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))

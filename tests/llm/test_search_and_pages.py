@@ -234,6 +234,18 @@ def test_pairs_share_a_prompt_and_mask_what_assistants_say(spark):
     assert pf.format_preferences(turns(spark, []), turns(spark, [])).count() == 0
 
 
+def test_conversations_stand_null_ids_equal_turns_repeats_and_long_texts(spark):
+    long_text = "x" * 300_000
+    rows = [(None, 0, "user", "a", "p"), (None, 0, "user", "a", "p"), (None, None, None, None, "p"), (1, 0, "user", "b", "p"), (1, 0, "assistant", "a", "p"), (1, 1, "assistant", long_text, "p")]
+    gathered = {r["id"]: [(t["turn"], t["role"], t["text"]) for t in r["turns"]] for r in pf.gather(turns(spark, rows), "pair_id").collect()}
+    # A null id is one conversation; equal turn numbers go by role and text, repeated turns stay.
+    assert gathered[None] == [(None, "unknown", ""), (0, "user", "a"), (0, "user", "a")]
+    assert gathered[1] == [(0, "assistant", "a"), (0, "user", "b"), (1, "assistant", long_text)]
+    got = {r["pair_id"]: r for r in pf.format_pairs(pf.with_repeated_answer(pf.gather(turns(spark, rows), "pair_id"))).collect()}
+    assert got[None]["chosen"] == got[None]["rejected"] == "" and got[1]["n_prompt_turns"] == 2
+    assert len(got[1]["chosen"]) > 300_000 and got[1]["rejected"] == "<|assistant|>\na<|end|>\n"
+
+
 def test_query_agrees_with_sql(spark, duck):
     from helpers import DATA, same_rows
 

@@ -204,3 +204,23 @@ def test_ngrams_stay_inside_their_texts():
     for i, t in enumerate(texts):
         alone, _ = langid.ngrams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
         assert sorted(bucket[row == i]) == sorted(alone)
+
+
+CLASHING = "doc_id long, text string, lang string, source string, owner string, found string, spans string, score double, held_out string, rejected string, __t string, cands string"
+
+
+def test_scans_stand_nulls_repeats_long_texts_and_clashing_names(spark):
+    long_text = "word é " * 200_000 + f"token={HEX} mail a@b.co"
+    rows = [(1, None, None, None), (None, f"secret={HEX}", "en", "s"), (2, "", "en", None), (2, "", "en", None), (3, long_text, "en", "s"), (3, long_text, "en", "s"), (None, None, None, None)]
+    df = spark.createDataFrame([(*r, "o", "f", "p", 0.5, "h", "r", "t", "c") for r in rows], CLASHING)
+    got = sorted(((r["doc_id"] or -1, r["n_assign"], r["n_hex"], r["spans"]) for r in secret_scan.scan(df).collect()), key=str)
+    at = len("word é " * 200_000)
+    long_spans = f"assign:{at}:{at + 6 + len(HEX)},hex:{at + 6}:{at + 6 + len(HEX)}"
+    short = f"assign:0:{7 + len(HEX)},hex:7:{7 + len(HEX)}"
+    assert got == sorted([(1, 0, 0, ""), (-1, 1, 1, short), (2, 0, 0, ""), (2, 0, 0, ""), (3, 1, 1, long_spans), (3, 1, 1, long_spans), (-1, 0, 0, "")], key=str)
+    mail = at + len(f"token={HEX} mail ")
+    got = sorted((r["doc_id"] or -1, r["n_email"], r["spans"]) for r in pii.scan(df).collect())
+    assert got == sorted([(-1, 0, ""), (-1, 0, ""), (1, 0, ""), (2, 0, ""), (2, 0, ""), (3, 1, f"email:{mail}:{mail + 6}"), (3, 1, f"email:{mail}:{mail + 6}")])
+    got = langid.identify(df).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got if r["doc_id"] in (1, 2)} == {"und"}
+    assert len({(r["lang_pred"], r["score"], r["rejected"]) for r in got if r["doc_id"] == 3}) == 1
