@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, mixing, near_dedup, sharding
-from lodestone.llm.common import Scratch, join_unique, remove, shared_dir, table, with_row_key
+from lodestone.llm.common import Scratch, join_unique, mark, release, remove, shared_dir, table, with_row_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: What names a row of a stage's table.
@@ -72,16 +72,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", shard_stage),
 ]
 
-#: Language ID is a trained model, which SQL can't express; tests hold run() against a brute-force version.
+#: Language ID is a trained model, which SQL can't express; tests hold the stages against brute-force versions, given its answers.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; every stage's rows are written to the shared folder and read again, and go once the next stage is written."""
+    """Applies the stages to documents; every stage's rows are written to the shared folder and read again, and go, with the stage's own tables, once the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
+        before = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        release(before)
         docs = spark.read.parquet(f"{base}/{i}")
         if i:
             remove(spark, f"{base}/{i - 1}")
