@@ -120,7 +120,7 @@ def candidates(index: Index, queries: DataFrame, nprobe: int, batch: Batch | Non
     seed, l_base = index.meta["seed"], index.meta["l_base"]
     slots = sketch.sketch(batch.queries, index.weights, sketch.QUERY_SALT, "qid", index.meta["use_idf"], index.meta["dim_limit"])
     aims = routed.select("qid", "cluster_id", "centroid_score").join(F.broadcast(index.params.select("cluster_id", "m_i", "t_budget")), "cluster_id")  # a row per cluster
-    probes = sketch.minhash(slots, aims.select("qid", "cluster_id", "m_i"), index.domain, seed, "qid")
+    probes = sketch.minhash_arrow(slots, aims.select("qid", "cluster_id", "m_i"), index.domain, seed, "qid")
     counts = sketch.collisions(batch.probes(probes), index.signatures)
     counts = counts.join(few(aims, batch.n * nprobe), ["qid", "cluster_id"])
     counts = sketch.with_overlap(counts, few(sketch.sketch_sizes(slots, "qid"), batch.n), index.sizes)

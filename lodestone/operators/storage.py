@@ -37,8 +37,17 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def placed(df: DataFrame, *by: str) -> DataFrame:
-    """durable(), dealt by columns to as many partitions as a shuffle has: joins and sums by them need no shuffle any more."""
-    return durable(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by))
+    """durable(), dealt by columns to as many partitions as a shuffle has: joins and sums by them need no shuffle any more.
+
+    Planned without adaptive execution, which doesn't tell a stored table how it was dealt.
+    """
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return durable(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by))
+    finally:
+        spark.conf.set(key, was)
 
 
 def fingerprint(vectors: DataFrame) -> dict[str, int]:
