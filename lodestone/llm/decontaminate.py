@@ -3,7 +3,7 @@
 A window of `window` words that occurs in a document holds, whole, one of the document's grams at every stride-th
 position, as gram + stride - 1 <= window. So only those grams are hashed and probed against a broadcast set of the
 benchmark's grams; around each hit the windows that may hold it are cut out and joined with the benchmark's windows on
-the words themselves.
+the words themselves. A benchmark too large to broadcast is joined by shuffles of gram positions, without words.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower
+from lodestone.llm.common import Scratch, ascii_lower
 
 WINDOW = 10
-#: The benchmark's grams and windows are broadcast up to this many rows, and joined by shuffles beyond.
-BROADCAST_ROWS = 1_000_000
+#: The benchmark's windows, and with them its grams, are broadcast up to this many bytes, and joined by shuffles beyond.
+BROADCAST_BYTES = 64 << 20
+#: What a window takes besides its text.
+ROW_BYTES = 48
 #: What parts words, before and after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,20 +40,17 @@ def _gram(first: Column, n: int, words: str = "__w") -> Column:
     return F.xxhash64(*[F.get(F.col(words), first + k) for k in range(n)])
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 @dataclass
 class Windows:
-    """The benchmark's windows (len, text, items) and grams, and how documents must be probed for them."""
+    """The benchmark's windows (wid, len, text), the items of each (wid, item_id), its grams, and how documents must be probed for them."""
 
     windows: DataFrame
+    items: DataFrame
     grams: DataFrame
     lengths: list[int]
     gram: int
     stride: int
-    rows: int
+    small: bool
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> Windows | None:
@@ -59,16 +58,19 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "ite
 
     None if no item has words. An item without id takes part in hits but isn't counted among the items.
     """
+    scratch = Scratch(items.sparkSession)
     cut = _split(items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("__t")), ascii_lower(F.col("__t")), GAP).where("__n > 0")
-    cut = cut.select("item_id", F.slice("__w", F.col("__lead") + 1, F.col("__n")).alias("__w"), F.least(F.col("__n"), F.lit(window)).alias("len"))
+    cut = scratch.put(cut.select("item_id", F.slice("__w", F.col("__lead") + 1, F.col("__n")).alias("__w"), F.least(F.col("__n"), F.lit(window)).alias("len")))
     spots = cut.select("item_id", "len", F.explode(F.expr("transform(sequence(1, size(__w) - len + 1), i -> array_join(slice(__w, i, len), ' '))")).alias("text"))
-    windows = spots.groupBy("len", "text").agg(F.collect_set("item_id").alias("items"))
-    shape = {r["len"]: r["count"] for r in windows.groupBy("len").count().collect()}  # `window` rows at most
+    windows = scratch.put(spots.select("len", "text").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    shape = windows.groupBy("len").agg(F.sum(F.octet_length("text") + F.lit(ROW_BYTES)).alias("bytes")).collect()  # `window` rows at most
     if not shape:
         return None
-    gram = (min(shape) + 1) // 2
+    lengths = sorted(r["len"] for r in shape)
+    gram = (lengths[0] + 1) // 2
     grams = cut.select("__w", F.explode(F.expr(f"sequence(0, size(__w) - {gram})")).alias("i")).select(_gram(F.col("i"), gram).alias("gram")).distinct()
-    return Windows(windows, grams, sorted(shape), gram, min(shape) - gram + 1, sum(shape.values()))
+    held = spots.where("item_id is not null").join(windows, ["len", "text"]).select("wid", "item_id").distinct()
+    return Windows(windows, scratch.put(held), scratch.put(grams), lengths, gram, lengths[0] - gram + 1, sum(r["bytes"] for r in shape) <= BROADCAST_BYTES)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -87,11 +89,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         found = counted.select("*", F.expr("cast(array() as array<struct<start:int,len:int>>)").alias("hits"), F.lit(0).alias("n_hit"), F.expr("cast(array() as array<string>)").alias("__items"))
     else:
         hits = occurrences(docs.select(*doc, F.col(text_col).alias("__t")), bench)
-        per_doc = hits.groupBy("doc_id", "__h").agg(F.collect_set(F.struct("start", "len")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items"))
-        per_doc = per_doc.select(
+        hits = Scratch(docs.sparkSession).put(hits)
+        named = hits.select("doc_id", "__h", "wid").distinct().join(bench.items, "wid").groupBy("doc_id", "__h").agg(F.collect_set("item_id").alias("__items"))
+        named = named.select(F.col("doc_id").alias("__i"), F.col("__h").alias("__ih"), "__items")
+        per_doc = hits.groupBy("doc_id", "__h").agg(F.collect_set(F.struct("start", "len")).alias("hits"))
+        per_doc = per_doc.join(named, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__ih")), "left").select(
             F.col("doc_id").alias("__id"), F.col("__h").alias("__hh"), F.array_sort("hits").alias("hits"),
             F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))).alias("n_hit"),
-            F.array_sort(F.transform("__items", lambda x: x.cast("string"))).alias("__items"),
+            F.array_sort(F.transform(F.coalesce("__items", F.array()), lambda x: x.cast("string"))).alias("__items"),
         )
         found = counted.join(per_doc, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hh")), "left")
     items_of = F.coalesce("__items", F.expr("cast(array() as array<string>)"))
@@ -103,15 +108,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 
 def occurrences(docs: DataFrame, bench: Windows) -> DataFrame:
-    """(doc_id, __h, start, len, items) of every occurrence of a window in docs (doc_id, __h, __t), each once."""
+    """(doc_id, __h, start, len, wid) of every occurrence of a window in docs (doc_id, __h, __t), each once."""
     g, s, longest = bench.gram, bench.stride, max(bench.lengths)
     cut = _split(docs, ascii_lower(F.col("__t")), GAP).where(F.col("__n") >= g).drop("__t")
-    probe = cut.select("doc_id", "__h", "__w", "__lead", "__n", F.explode(F.transform(F.sequence(F.lit(0), F.col("__n") - g, F.lit(s)), lambda i: F.struct(i.alias("i"), _gram(i + F.col("__lead"), g).alias("gram")))).alias("at"))
-    probe = probe.select("doc_id", "__h", "__w", "__lead", "__n", F.col("at.i").alias("i"), F.col("at.gram").alias("gram"))
-    hit = probe.join(_bounded(bench.grams, bench.rows), "gram")
+    probe = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - g, F.lit(s))).alias("i")).withColumn("gram", _gram(F.col("i") + F.col("__lead"), g))
+    if bench.small:
+        hit = probe.join(F.broadcast(bench.grams), "gram")
+    else:
+        # Only positions are shuffled to the grams; each document with hits then meets its words once.
+        at = probe.select("doc_id", "__h", "i", "gram").join(bench.grams, "gram", "left_semi").groupBy("doc_id", "__h").agg(F.collect_set("i").alias("at"))
+        at = at.select(F.col("doc_id").alias("__id"), F.col("__h").alias("__hh"), "at")
+        hit = cut.join(at, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hh"))).select("doc_id", "__h", "__w", "__lead", "__n", F.explode("at").alias("i"))
     # The words around a hit: windows that hold the gram begin at `from` or later and end before from + size.
     lo = F.greatest(F.lit(0), F.col("i") - (longest - g))
     near = hit.select("doc_id", "__h", "i", lo.alias("from"), F.slice("__w", lo + F.col("__lead") + 1, F.least(F.col("__n"), F.col("i") + longest) - lo).alias("near"))
     starts = F.concat(*[F.expr(f"transform(filter(sequence(greatest(`from`, i - {n - g}), i), p -> p - `from` + {n} <= size(near)), p -> struct(p as start, {n} as len, array_join(slice(near, p - `from` + 1, {n}), ' ') as text))") for n in bench.lengths])
     spots = near.select("doc_id", "__h", F.explode(starts).alias("at")).select("doc_id", "__h", "at.*")
-    return spots.join(_bounded(bench.windows, bench.rows), ["len", "text"]).select("doc_id", "__h", "start", "len", "items").distinct()
+    windows = F.broadcast(bench.windows) if bench.small else bench.windows
+    return spots.join(windows, ["len", "text"]).select("doc_id", "__h", "start", "len", "wid").distinct()
